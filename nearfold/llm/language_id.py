@@ -24,7 +24,9 @@ from nearfold.llm.common import as_docs
 DIMS, CENTROIDS, ITERATIONS = 4096, 4, 10
 #: Bound of the training sample: documents of one language, the first by a hash of their text.
 SAMPLE_PER_LANGUAGE = 500
-#: A text is rejected if its best cosine is below this part of the least cosine of that centroid's members.
+#: A text is rejected if its best cosine is below this part of the least one of that centroid's members. A
+#: text with few n-grams is far from every centroid by nature, about as the root of their number, so cosines
+#: are compared after division by that root (relative to the members' median number).
 REJECT_PART = 0.5
 UNKNOWN = "und"
 _DOCS_AT_ONCE = 512
@@ -76,16 +78,28 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class CentroidModel:
-    """Centroids (rows, unit length), the language of each, the least cosine it accepts, and the IDF weights."""
+    """Centroids (rows, unit length), the language of each, the least adjusted cosine it accepts, its members'
+    median number of distinct n-grams, and the IDF weights."""
 
     languages: tuple[str, ...]
     centroids: np.ndarray
     floors: np.ndarray
+    typical: np.ndarray
     idf: np.ndarray
 
+    def rejects(self, best: np.ndarray, cosine: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Whether texts with these best centroids, cosines and numbers of n-grams are too far away."""
+        return cosine < self.floors[best] * richness(grams, self.typical[best])
 
-def cluster(vectors: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from spread-out seeds; returns unit centroids and each one's least member cosine."""
+
+def richness(grams: np.ndarray, typical: np.ndarray) -> np.ndarray:
+    """Expected size of a cosine, by the number of distinct n-grams."""
+    return np.sqrt(np.minimum(1, grams / np.maximum(typical, 1)))
+
+
+def cluster(vectors: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spherical k-means from spread-out seeds; returns unit centroids, and each one's least adjusted member
+    cosine and median number of n-grams."""
     chosen = [int(np.argmax(vectors @ vectors.mean(axis=0)))]
     near = vectors @ vectors[chosen[0]]
     while len(chosen) < min(k, len(vectors)):
@@ -101,7 +115,10 @@ def cluster(vectors: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, n
     cosine = vectors @ centres.T
     own = np.argmax(cosine, axis=1)
     used = [c for c in range(len(centres)) if (own == c).any()]
-    return centres[used], np.array([cosine[own == c, c].min() for c in used], np.float32)
+    grams = (vectors > 0).sum(axis=1)
+    typical = np.array([np.median(grams[own == c]) for c in used])
+    least = [(cosine[own == c, c] / richness(grams[own == c], t)).min() for c, t in zip(used, typical, strict=True)]
+    return centres[used], np.array(least), typical
 
 
 def fit(docs: DataFrame, labelled: Column, label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> CentroidModel:
@@ -126,19 +143,20 @@ def fit(docs: DataFrame, labelled: Column, label_col: str = "lang", per_language
     table = sample.mapInArrow(vectors, "lang string, counts binary").toArrow()
     pairs = sorted(zip(table.column("lang").to_pylist(), table.column("counts").to_pylist(), strict=True))
     if not pairs:
-        return CentroidModel((), np.zeros((0, DIMS), np.float32), np.zeros(0, np.float32), np.ones(DIMS, np.float32))
+        return CentroidModel((), np.zeros((0, DIMS), np.float32), np.zeros(0), np.zeros(0), np.ones(DIMS, np.float32))
     counts = np.stack([np.frombuffer(c, np.float32) for _, c in pairs])
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     unit, langs = weigh(counts, idf), np.array([lang for lang, _ in pairs])
-    names, centres, floors = [], [], []
+    names, centres, floors, typical = [], [], [], []
     for lang in np.unique(langs):
         own = unit[(langs == lang) & (unit.any(axis=1))]
         if len(own):
-            c, least = cluster(own, k, ITERATIONS)
+            c, least, size = cluster(own, k, ITERATIONS)
             names += [str(lang)] * len(c)
             centres.append(c)
             floors.append(least * REJECT_PART)
-    return CentroidModel(tuple(names), np.concatenate(centres), np.concatenate(floors), idf)
+            typical.append(size)
+    return CentroidModel(tuple(names), np.concatenate(centres), np.concatenate(floors), np.concatenate(typical), idf)
 
 
 def identify(docs: DataFrame, model: CentroidModel, more: tuple[str, ...] = ()) -> DataFrame:
@@ -155,10 +173,11 @@ def identify(docs: DataFrame, model: CentroidModel, more: tuple[str, ...] = ())
                 own = text.slice(a, _DOCS_AT_ONCE)
                 known = letters[a : a + _DOCS_AT_ONCE]
                 if model.languages:
-                    cosine = weigh(ngram_counts(own), model.idf) @ model.centroids.T
+                    counts = ngram_counts(own)
+                    cosine = weigh(counts, model.idf) @ model.centroids.T
                     best = np.argmax(cosine, axis=1)
                     score = np.clip(cosine[np.arange(len(own)), best].astype(np.float64), 0, 1)
-                    rejected = ~known | (score < model.floors[best])
+                    rejected = ~known | model.rejects(best, score, (counts > 0).sum(axis=1))
                     names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
                 else:
                     score, rejected, names = np.zeros(len(own)), np.ones(len(own), bool), [UNKNOWN] * len(own)
