@@ -1,0 +1 @@
+"""Vector-similarity search and evaluation on Spark DataFrames."""
