@@ -43,8 +43,9 @@ class _Range(InputPartition):
 
 class _FbinReader(DataSourceReader):
     def __init__(self, options: dict[str, str], column: str):
+        options = {k.lower(): v for k, v in options.items()}
         self.path, self.dtype, self.column = options["path"].removeprefix("file://"), KINDS[options.get("kind", "float32")][0], column
-        self.limit, self.rows = int(options.get("limit", "0")), int(options.get("rowsPerPartition", "100000"))
+        self.limit, self.rows = int(options.get("limit", "0")), int(options.get("rowsperpartition", "100000"))
 
     def partitions(self) -> list[_Range]:
         item = np.dtype(self.dtype).itemsize
