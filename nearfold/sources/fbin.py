@@ -16,24 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 KINDS = {"float32": ("<f4", "float"), "int32": ("<i4", "int"), "uint8": ("<u1", "smallint")}
-HEADER = struct.Struct("<II")
+HEADER = "<II"
+HEADER_BYTES = struct.calcsize(HEADER)
 
 
 def parse_header(head: bytes, size: int, item: int) -> tuple[int, int]:
     """Rows and columns; an empty shape or a file of another length raises."""
-    if len(head) < HEADER.size:
+    if len(head) < HEADER_BYTES:
         raise ValueError("vector file is shorter than its header")
-    n, d = HEADER.unpack(head[: HEADER.size])
+    n, d = struct.unpack(HEADER, head[:HEADER_BYTES])
     if not n or not d:
         raise ValueError("vector file has no rows or no columns")
-    if size < HEADER.size + n * d * item:
+    if size < HEADER_BYTES + n * d * item:
         raise ValueError("vector file is cut off")
     return n, d
 
 
 def vector_bytes(x: np.ndarray, kind: str = "float32") -> bytes:
     """File contents of a matrix."""
-    return HEADER.pack(*x.shape) + np.ascontiguousarray(x, KINDS[kind][0]).tobytes()
+    return struct.pack(HEADER, *x.shape) + np.ascontiguousarray(x, KINDS[kind][0]).tobytes()
 
 
 class _Range(InputPartition):
@@ -50,7 +51,7 @@ class _FbinReader(DataSourceReader):
     def partitions(self) -> list[_Range]:
         item = np.dtype(self.dtype).itemsize
         with open(self.path, "rb") as f:
-            n, d = parse_header(f.read(HEADER.size), os.path.getsize(self.path), item)
+            n, d = parse_header(f.read(HEADER_BYTES), os.path.getsize(self.path), item)
         n = min(n, self.limit) if self.limit else n
         return [_Range(a, min(n, a + self.rows), d) for a in range(0, n, self.rows)]
 
@@ -59,7 +60,7 @@ class _FbinReader(DataSourceReader):
         for a in range(partition.start, partition.stop, 8192):
             b = min(partition.stop, a + 8192)
             with open(self.path, "rb") as f:
-                f.seek(HEADER.size + a * partition.width * item)
+                f.seek(HEADER_BYTES + a * partition.width * item)
                 flat = np.frombuffer(f.read((b - a) * partition.width * item), self.dtype)
             values = pa.array(flat.astype(np.int16) if self.dtype == "<u1" else flat)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * partition.width), values)
@@ -96,7 +97,7 @@ def read_vectors(spark: SparkSession, path: str, kind: str = "float32", limit: i
                 m = min(n, limit) if limit else n
                 for a in range(0, m, 8192):
                     b = min(m, a + 8192)
-                    flat = np.frombuffer(data, dtype, (b - a) * d, HEADER.size + a * d * np.dtype(dtype).itemsize)
+                    flat = np.frombuffer(data, dtype, (b - a) * d, HEADER_BYTES + a * d * np.dtype(dtype).itemsize)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * d), pa.array(flat.astype(np.int16) if dtype == "<u1" else flat))
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), lists], ["id", "vec"])
 
