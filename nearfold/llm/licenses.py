@@ -141,8 +141,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             doc, template, diagonal = doc[order], template[order], diagonal[order]
             fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (template[1:] != template[:-1]) | (diagonal[1:] - diagonal[:-1] > BAND))) if len(doc) else np.zeros(0, bool)
             first = np.flatnonzero(fresh)
-            found = []
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
+            found: list[tuple] = []
+            ends = np.append(first[1:], len(doc)).tolist() if len(first) else []
+            for a, b in zip(first.tolist(), ends, strict=True):
                 d, t = int(doc[a]), int(template[a])
                 own, want = words[off[d] : off[d + 1]], index.words[t]
                 low, high = int(diagonal[a]) - BAND, int(diagonal[b - 1]) + BAND

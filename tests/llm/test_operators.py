@@ -1,0 +1,306 @@
+"""Each operator against brute force, the public libraries or a round trip, on small texts with edge cases."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from nearfold.llm import exact_dedup, language_id, licenses, media, near_dedup, packing, rank_bpe, suffix_dedup, token_counts, token_files
+from nearfold.llm.tokens import encoder, vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, part int, sig string"
+OPERATORS = {
+    "lengths": lambda d: token_counts.length_histogram(token_counts.token_lengths(d)),
+    "media": lambda d: media.media_features(media.encode_media(d)),
+    "language": language_id.identify_languages,
+    "licenses": licenses.scan_licenses,
+    "files": token_files.token_files,
+    "packing": packing.pack_documents,
+    "suffix": suffix_dedup.remove_repeats,
+    "exact": exact_dedup.exact_duplicates,
+    "bpe": rank_bpe.encoding_digests,
+    "near": near_dedup.near_duplicates,
+}
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice(list("abcdeinorst"), rng.integers(2, 8))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = np.random.default_rng(11)
+    out = [words(rng, int(n)) for n in rng.integers(1, 120, 40)]
+    passage = words(rng, 60)
+    out += [words(rng, 20) + " " + passage + " " + words(rng, 20) for _ in range(5)]
+    near = passage.split()
+    out += [" ".join(near[:i] + ["changed"] + near[i + 1 :]) for i in (1, 20, 58)] + [out[3], out[3], passage.upper()]
+    out += [None, "", " ", "\n\n", "a", "é" * 60, "x" * 300, "the. " * 80, "Ünï\tcode　text  two", "Released under the MIT License.\n" + words(rng, 9), "<|endoftext|>", "1 2 3 !!", words(rng, 6000)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i * 3, t, [None, "en", "de"][i % 3], "s", len(t or ""), 1, 2, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5).persist()
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_edges(spark, docs, name):
+    """Empty tables, all-null texts, repeated rows and null ids run and keep one row per document."""
+    f = OPERATORS[name]
+    assert f(docs.where("doc_id < 0")).count() == 0
+    nulls = docs.withColumn("text", F.lit(None).cast("string"))
+    n = f(nulls).count()
+    assert n == (1 if name == "lengths" else 0 if name == "licenses" else docs.count())
+    twice = docs.limit(8).unionByName(docs.limit(8)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    if name not in ("lengths", "licenses", "packing"):
+        assert f(twice).count() == 17
+
+
+def collected(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_token_counts(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    sizes = [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    hist = token_counts.length_histogram(token_counts.token_lengths(docs))
+    rows = collected(hist, "n_tokens")
+    assert {k: r["n_docs"] for k, r in rows.items()} == collections.Counter(sizes)
+    for k, r in rows.items():
+        assert r["kept_tokens"] == sum(min(k, s) for s in sizes) and r["docs_longer"] == sum(s > k for s in sizes)
+    assert token_counts.truncated_total(hist, 50).first()["kept_tokens"] == sum(min(50, s) for s in sizes)
+    q = collected(token_counts.length_quantiles(hist, (0.1, 0.5, 1.0)), "q")
+    assert [q[x]["n_tokens"] for x in (0.1, 0.5, 1.0)] == [sorted(sizes)[int(np.ceil(x * len(sizes))) - 1] for x in (0.1, 0.5, 1.0)]
+
+
+def test_media(spark, docs, texts):
+    got = collected(media.media_features(media.encode_media(docs)))
+    for i, t in enumerate(texts):
+        body = (t or "").encode()
+        payload = body.ljust(max(1, -(-len(body) // 192)) * 192, b" ")
+        r = got[i * 3]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+
+
+def test_general_jpeg():
+    """A two-component image with AC terms, subsampling and one interval, written by hand."""
+    rng = np.random.default_rng(2)
+    blocks = rng.integers(-30, 30, 4 * 4 + 4)  # 2 x 2 units of 4 luma blocks and 1 chroma block
+    dc, ac = media._codes(media.DC_BITS, media.DC_VALUES), media._codes((0, 2, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (0x00, 0x01, 0xF0, 0x32))
+    bits = ""
+    put = lambda code, n: format(code, f"0{n}b") if n else ""
+    before = {0: 0, 1: 0}
+    at = 0
+    for _ in range(4):
+        for c in (0, 0, 0, 0, 1):
+            d = int(blocks[at]) - before[c]
+            before[c] = int(blocks[at])
+            s = abs(d).bit_length()
+            bits += put(*dc[s]) + put(d if d > 0 else d + (1 << s) - 1, s)
+            bits += put(*ac[0x01]) + "1" + put(*ac[0xF0]) + put(*ac[0x32]) + "10" + put(*ac[0x00])
+            at += 1
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    seg = media._segment
+    data = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, bytes((0, *[16] * 64))) + seg(0xC0, b"\x08\x00\x20\x00\x20\x02" + bytes((1, 0x22, 0, 2, 0x11, 0)))
+    data += seg(0xC4, bytes((0x00, *media.DC_BITS, *media.DC_VALUES))) + seg(0xC4, bytes((0x10, 0, 2, 2, *[0] * 13, 0x00, 0x01, 0xF0, 0x32)))
+    data += seg(0xDA, bytes((2, 1, 0, 2, 0, 0, 63, 0))) + scan + b"\xff\xd9"
+    frame = media.parse_frames(data)
+    assert (frame[0].width, frame[0].height) == (32, 32)
+    thumb = media.decode_thumbnails(np.frombuffer(data, np.uint8), frame)[0]
+    want = np.zeros((4, 4), int)
+    for u in range(4):
+        for k in range(4):
+            want[u // 2 * 2 + k // 2, u % 2 * 2 + k % 2] = blocks[u * 5 + k] * 2 + 128
+    assert (thumb == want).all()
+    for broken in (data[:-2], data[2:], data.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(ValueError):
+            media.parse_frames(broken)
+
+
+def test_language(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.identify_languages(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
+    model = language_id.fit(d.select("doc_id", "text", "lang"), language_id.training_rows())
+    odd = spark.createDataFrame([(1, "Привет как дела это русский текст и он не из наших языков"), (2, "12 34"), (3, None), (4, "The is of and to in that was.")], "doc_id long, text string")
+    got = collected(language_id.identify(odd, model))
+    assert got[1]["rejected"] and not got[4]["rejected"] and got[4]["lang_pred"] == "en"
+    assert [got[i]["lang_pred"] for i in (2, 3)] == ["und", "und"] and got[2]["score"] == 0
+
+
+def test_licenses(spark):
+    line = licenses.TEMPLATES["gpl-3.0-line"]
+    notice = licenses.TEMPLATES["mit-grant"].upper()
+    rows = [(1, "some words here " + line + " and more"), (2, notice.replace("FREE OF CHARGE,", "")), (3, "Licensed cats under the bed."), (4, f"{line} x y z " * 2), (5, None)]
+    got = [tuple(r)[:2] + (r["word_start"], r["word_end"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    n = len(line.split())
+    assert (1, "gpl-3.0-line", 3, 3 + n) in got and (2, "mit-grant") in [g[:2] for g in got]
+    assert [g for g in got if g[0] == 4] == [(4, "gpl-3.0-line", 0, n), (4, "gpl-3.0-line", n + 3, 2 * n + 3)]
+    assert not [g for g in got if g[0] in (3, 5)]
+
+
+@pytest.mark.parametrize("name, end", [("word_bpe_49k.json", 2), ("byte_bpe_50k.json", None)])
+def test_whole_text_ids(texts, name, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary(name))
+    t.encode_special_tokens = True
+    own = [x or "" for x in texts]
+    ids, off = encoder(vocabulary(name), end == 2)(pa.array(own))
+    for i, x in enumerate(own):
+        assert ids[off[i] : off[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_token_files(spark, docs, texts):
+    ids, off = encoder(vocabulary("word_bpe_49k.json"), True)(pa.array([t or "" for t in texts]))
+    got, start = collected(token_files.token_files(docs)), 0
+    for i in range(len(texts)):
+        own = np.append(ids[off[i] : off[i + 1]], 2).astype("<u4")
+        assert (got[i * 3]["start"], got[i * 3]["n_tokens"], got[i * 3]["ids_crc32"]) == (start, len(own), zlib.crc32(own.tobytes()))
+        start += len(own)
+
+
+def test_repair_random_access():
+    rng = np.random.default_rng(1)
+    ids, ends = rng.integers(0, 5, 4000).astype(np.uint32), np.array([0, 0, 900, 901, 4000])
+    shard = token_files.Shard(token_files.write_shard(np.arange(5), ids, ends, 10))
+    assert len(shard.rules) and len(shard.symbols) < 4000 and (shard.decode() == ids).all()
+    for start, n in ((0, 1), (5, 700), (3000, 99)):
+        assert (shard.span(4, start, n) == ids[901 + start : 901 + start + n]).all()
+
+
+def test_packing(spark, docs, texts):
+    ids, off = encoder(vocabulary("byte_bpe_50k.json"))(pa.array([t or "" for t in texts]))
+    rows = packing.pack_documents(docs, capacity=64, grain=16).collect()
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append(r)
+    for i in range(len(texts)):
+        own, at = np.append(ids[off[i] : off[i + 1]], 1).astype("<u4"), 0
+        for r in sorted(by_doc[i * 3], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(own)
+    for seq in by_seq.values():
+        at = 0
+        for r in sorted(seq, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64
+    sums = [sum([4, 5, 6, 7, 8][i] for i in s) for s in packing.differencing([4, 5, 6, 7, 8], 2)]
+    assert sorted(sums) == [14, 16]
+
+
+@pytest.mark.parametrize("common", [(1024, 256), (1, 2)])
+def test_suffix(spark, docs, texts, common):
+    owner, got = {}, collected(suffix_dedup.remove_repeats(docs, with_text=True, common=common))
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if owner.setdefault(b[p : p + 50], i) < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        r = got[i * 3]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact(spark, docs, texts, keep):
+    groups = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t or ""].append(i * 3)
+    got = collected(exact_dedup.exact_duplicates(docs, keep=keep))
+    for t, own in groups.items():
+        for i in own:
+            best = max(own) if keep == "largest" else min(own)
+            assert tuple(got[i])[1:] == (best, len(own), i == best, hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_rank_bpe(spark, docs, texts):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = rank_bpe.read_ranks(vocabulary(rank_bpe.VOCABULARY))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got, ids = collected(rank_bpe.encoding_digests(docs)), collected(rank_bpe.encode_texts(docs))
+    for i, t in enumerate(texts):
+        want = library.encode_ordinary(t or "")
+        assert ids[i * 3]["ids"] == want and got[i * 3]["n_tokens"] == len(want)
+        assert got[i * 3]["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert got[i * 3]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_near(spark, docs, texts):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(fold))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = collected(near_dedup.near_duplicates(docs))
+    assert [(got[i * 3]["n_shingles"], got[i * 3]["component_id"]) for i in range(len(texts))] == [(len(s), 3 * c) for s, c in zip(sets, label, strict=True)]
+
+
+def test_near_large_group(spark):
+    """A family of copies around the threshold: blocks, residual rounds and the forest agree with brute force."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(60)]
+    rows, sets = [], []
+    for i in range(150):
+        w = list(base)
+        for k in rng.integers(0, 60, rng.integers(0, 4)):
+            w[k] = f"x{rng.integers(0, 5)}"
+        rows.append((i, " ".join(w)))
+        sets.append({tuple(w[k : k + 5]) for k in range(56)})
+    label, changed = list(range(150)), True
+    pairs = [(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    got = collected(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["component_id"] for i in range(150)] == label
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    frames = [d]
+    for name, stage in corpus_pipeline.STAGES:
+        out = str(tmp_path / name)
+        stage(spark, frames[-1], "/root/testdata/sf0.001").write.parquet(out)
+        frames.append(spark.read.parquet(out))
+    for f in frames[1:-1]:
+        assert f.columns == d.columns and f.dtypes == d.dtypes
+    lang, exact, near, suffix, packed = frames[1:]
+    assert lang.count() >= 0.99 * d.count()
+    assert exact.count() == lang.select("text").distinct().count()
+    comps = near_dedup.near_duplicates(exact)
+    assert near.count() == comps.select("component_id").distinct().count()
+    assert suffix.count() == near.count() and suffix.agg(F.sum("n_chars")).first()[0] < near.agg(F.sum(F.length("text"))).first()[0]
+    assert packed.select("doc_id").distinct().count() == suffix.count()
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == packed.count()
