@@ -7,6 +7,7 @@
 3. A candidate pair's signatures are compared batch by batch. It is dropped as soon as the posterior
    probability that its similarity reaches the threshold falls below the miss probability.
 4. Survivors are verified on their full shingle sets; components of the verified links are the answer.
+   Pairs inside one component add nothing to the answer and are not verified.
 """
 
 from __future__ import annotations
@@ -113,81 +114,90 @@ def _unpack(column: pa.Array, kind) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
-def _prune(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures survive."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.stack(_unpack(batch.column(c), np.uint32)) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).take(pa.array(survives(a, b)))
-
-    own = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that reach the threshold on their full shingle sets."""
+    """Pairs (a, b) whose signatures survive and that reach the threshold on their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(_unpack(batch.column("set_a"), np.uint64), _unpack(batch.column("set_b"), np.uint64), strict=True):
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            sig_a, sig_b = (np.stack(_unpack(batch.column(c), np.uint32)) for c in ("sig_a", "sig_b"))
+            set_a, set_b = (_unpack(batch.column(c), np.uint64) for c in ("shingles_a", "shingles_b"))
+            good = [i for i in survives(sig_a, sig_b).tolist() if _linked(set_a[i], set_b[i])]
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    own = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
-    return pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    own = lambda c: sets.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("shingles").alias(f"shingles_{c}"))
+    joined = pairs.join(own("b"), "b").join(own("a"), "a")
+    return joined.select("a", "b", "sig_a", "sig_b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Surviving pairs of different components inside each bucket block.
+def _short(shingles: np.ndarray) -> np.ndarray:
+    """The set's hashes cut to 32 bits, sorted."""
+    return np.sort((shingles >> np.uint64(32)).astype(np.uint32))
 
-    ``members(key, side, other, doc_id, label, sig)`` is sorted by key; a block's key is a pair of sides,
-    and pairs are taken between the sides, or inside one where both are the same.
+
+def _cross_pairs(members: DataFrame, forest: bool) -> DataFrame:
+    """Pairs of different components inside each bucket block that survive and agree on their cut sets.
+
+    ``members(key, at, side, other, doc_id, label, sig, cut)`` is sorted by key; a block's key is a pair of
+    sides, and pairs are taken between the sides, or inside one where both are the same. A pair counts
+    in its first common band only. With ``forest``, pairs that the pairs before them connect already are
+    left out, so a block of n members gives fewer than n pairs.
     """
 
-    def pairs_of(keys: np.ndarray, doc: np.ndarray, label: np.ndarray, side: np.ndarray, other: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        out_a, out_b = [], []
-        sizes = np.diff(cut)
-        for start, n in zip(cut[:-1].tolist(), sizes.tolist(), strict=True):
-            rows = np.arange(start, start + n)
-            for i in rows[:-1].tolist():
-                later = rows[i - start + 1 :]
-                later = later[label[later] != label[i]]
-                if side[i] != other[i]:
-                    later = later[side[later] != side[i]]
-                if len(later):
-                    hit = later[survives(np.broadcast_to(sig[i], (len(later), HASHES)), sig[later])]
-                    out_a.append(np.minimum(doc[i], doc[hit]))
-                    out_b.append(np.maximum(doc[i], doc[hit]))
-        none = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a or none)), pa.array(np.concatenate(out_b or none))], ["a", "b"])
+    def block_pairs(at: int, cross: bool, doc: np.ndarray, label: np.ndarray, side: np.ndarray, sig: np.ndarray, cut: list[np.ndarray]) -> list[tuple[int, int]]:
+        out, part = [], label.copy()
+        bands = sig.reshape(len(sig), BANDS, ROWS)
+        for i in range(len(doc) - 1):
+            later = np.arange(i + 1, len(doc))
+            later = later[part[later] != part[i]]
+            if cross:
+                later = later[side[later] != side[i]]
+            if not len(later):
+                continue
+            later = later[survives(np.broadcast_to(sig[i], (len(later), HASHES)), sig[later])]
+            later = later[(bands[later] == bands[i]).all(axis=2).argmax(axis=1) == at]
+            for j in later[np.argsort(-(sig[later] == sig[i]).sum(axis=1), kind="stable")].tolist():
+                if part[j] != part[i] and _linked(cut[i], cut[j]):
+                    out.append((min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j]))))
+                    if forest:
+                        part[part == part[j]] = part[i]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def emit(table: pa.Table) -> pa.RecordBatch:
-            one = table.combine_chunks()
+        def emit(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            one = pa.Table.from_batches(parts)
             num = lambda c: one.column(c).to_numpy()
-            return pairs_of(num("key"), num("doc_id"), num("label"), num("side"), num("other"), np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in one.column("sig")]))
+            keys, at, doc, label, side, other = map(num, ("key", "at", "doc_id", "label", "side", "other"))
+            edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))).tolist()
+            pairs: list[tuple[int, int]] = []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if (label[a:b] != label[a]).any():
+                    sig = np.stack(_unpack(one.column("sig").slice(a, b - a), np.uint32))
+                    pairs += block_pairs(int(at[a]), bool((side[a:b] != other[a:b]).any()), doc[a:b], label[a:b], side[a:b], sig, _unpack(one.column("cut").slice(a, b - a), np.uint32))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = batch.column("key").to_numpy()
-            last = int(np.searchsorted(keys != keys[-1], False)) if (keys == keys[-1]).all() else int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+            before = np.flatnonzero(keys != keys[-1])
+            last = int(before[-1]) + 1 if len(before) else 0  # the rows of the last key may go on
             if last or (held and held[-1].column("key")[-1].as_py() != keys[0]):
-                head = [*held, batch.slice(0, last)] if last else held
-                yield emit(pa.Table.from_batches(head))
+                yield emit([*held, batch.slice(0, last)] if last else held)
                 held = []
             held.append(batch.slice(last))
         if held:
-            yield emit(pa.Table.from_batches(held))
+            yield emit(held)
 
     return members.mapInArrow(run, "a long, b long")
 
@@ -196,39 +206,46 @@ def near_links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     """``node, label``: components of the classes' verified links. ``sigs`` is the signature table, ``docs`` the texts."""
     spark = docs.sparkSession
     classes = sigs.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    reps = sigs.join(classes, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands")
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
+    reps = sigs.join(classes, ["digest", "doc_id"], "left_semi")
+    banded = reps.select("doc_id", F.posexplode("bands").alias("at", "band"))
     buckets = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     members = saved(banded.join(buckets, "band"), "bucket-members")
-    candidates = saved(members.select("doc_id").distinct(), "candidates")
-    cand_sigs = saved(reps.select("doc_id", "sig").join(candidates, "doc_id", "left_semi"), "candidate-signatures")
+    candidates = members.select("doc_id").distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text in text_slices(batches):
             sets, off = shingle_sets(text)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([sets[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "shingles"])
-
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        return docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets_of, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-
+            edges = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+            if len(edges) and (np.diff(off) == 0).any():  # a repeated id with a wordless text
+                kept = np.flatnonzero(np.diff(off))
+                rows, edges = rows.take(pa.array(kept)), [edges[i] for i in kept.tolist()]
+            sig = minhash(sets, np.array([a for a, _ in edges] + [len(sets)], np.int64))
+            cols = [[s.tobytes() for s in sig], [sets[a:b].tobytes() for a, b in edges], [_short(sets[a:b]).tobytes() for a, b in edges]]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array(c, pa.binary()) for c in cols]], ["doc_id", "sig", "shingles", "cut"])
+
+    # the texts meet their candidate ids by a merge join at every size
+    sets = docs.join(candidates.hint("merge"), "doc_id", "left_semi").mapInArrow(sets_of, "doc_id long, sig binary, shingles binary, cut binary")
+    sets = saved(sets, "candidate-sets")
     # first round: each class and the least leader of its buckets
     star = members.where(F.col("doc_id") != F.col("leader")).groupBy(F.col("doc_id").alias("b")).agg(F.min("leader").alias("a"))
-    star = saved(_prune(star.select("a", "b"), cand_sigs), "star-pairs")
-    links = saved(_verify(star, sets_for(star)), "star-links")
+    links = saved(_verify(star.select("a", "b"), sets), "star-links")
     labels = connected_components(links)
     # second round: buckets that hold several components
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "size", F.coalesce("label", "doc_id").alias("label"))
+    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "at", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where(F.col("low") < F.col("high"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     rows = labelled.join(mixed.select("band", "n"), "band").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("key", F.when(F.col("n") <= BLOCK, F.col("band")).otherwise(F.xxhash64("band", F.least("side", "other"), F.greatest("side", "other"))))
-    rows = rows.join(cand_sigs, "doc_id").select("key", "side", "other", "doc_id", "label", "sig")
+    rows = rows.join(sets.select("doc_id", "sig", "cut"), "doc_id").select("key", "at", "side", "other", "doc_id", "label", "sig", "cut")
     rows = rows.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "doc_id")
-    cross = saved(_cross_pairs(rows).distinct().join(star, ["a", "b"], "left_anti"), "cross-pairs")
-    if cross.limit(1).count():
-        links = saved(links.unionByName(_verify(cross, sets_for(cross))), "all-links")
+    cross = saved(_cross_pairs(rows, True), "cross-pairs")
+    found = cross.count()
+    if found:
+        more = saved(_verify(cross.distinct(), sets), "cross-links")
+        if more.count() < cross.distinct().count():  # a cut set misled the forest: take every pair
+            more = saved(_verify(_cross_pairs(rows, False).distinct(), sets), "cross-links")
+        links = links.unionByName(more)
         labels = connected_components(links)
     return labels
 
