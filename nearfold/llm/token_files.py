@@ -28,7 +28,7 @@ SHARD_BYTES = 6 << 20
 MAGIC = b"RPG1"
 #: Rounds of replacement, new rules in each, and the least count of a pair worth a rule.
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 2048, 16
-TEXT_SLICE = 8 << 20
+TEXT_SLICE = 12 << 20
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

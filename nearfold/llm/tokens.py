@@ -9,6 +9,7 @@ differently, take a slower path that cuts at each match of the pre-tokeniser's p
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -184,15 +185,37 @@ def library_encoder(path: str, words: bool) -> ChunkEncoder:
 
     if words:
         cut = regex.compile(WORD_PIECES).findall
-        visible = regex.compile(r"[!-@\[-~]+").fullmatch  # printable ASCII without capitals
-        lone = regex.compile(r"[a-z]+|[0-9]|[!-/:-@\[-`{-~]+").fullmatch
+        visible = regex.compile(r"[!-@\[-~\u00a1-\u024f]+").fullmatch  # no ASCII capitals, no space
+        lone = regex.compile(r"[0-9]|[!-/:-@\[-`{-~]+").fullmatch
+
+        def unchanged(piece: str) -> bool:
+            """Whether the vocabulary's normaliser leaves these characters as they are."""
+            return piece.isascii() or (piece.lower() == piece and unicodedata.is_normalized("NFC", piece))
+
+        def pieces_of(chunk: str) -> list[str] | None:
+            if chunk.isalpha() and chunk.isascii():
+                return None
+            return cut(chunk) if visible(chunk) and unchanged(chunk) else None
 
         def encode(pieces: list[str]) -> list[list[int]]:
-            rest = iter(whole([p for p in pieces if not lone(p)]))
-            return [[t.id for t in merge(p)] if lone(p) else next(rest) for p in pieces]
+            out: list[list[int]] = []
+            rest = []
+            for p in pieces:
+                if p.isalpha() and p.isascii():
+                    out.append([t.id for t in merge(p)])
+                elif lone(p):
+                    out.append([t.id for t in merge(p)])
+                elif p.isalpha() and visible(p) and unchanged(p):
+                    out.append([t.id for t in merge("".join([alphabet[b] for b in p.encode()]))])
+                else:
+                    rest.append(len(out))
+                    out.append([])
+            for i, ids in zip(rest, whole([pieces[i] for i in rest]), strict=True):
+                out[i] = ids
+            return out
 
         # a slow text is one chunk, which only the library's own pre-tokeniser cuts
-        return ChunkEncoder(encode, lambda c: cut(c) if visible(c) else None, True, lambda t: [t] if t else [])
+        return ChunkEncoder(encode, pieces_of, True, lambda t: [t] if t else [])
     find = piece_pattern().findall
 
     def encode_bytes(pieces: list[str]) -> list[list[int]]:
