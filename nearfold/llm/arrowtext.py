@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,32 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
-    """Cut batches into runs of rows holding about ``limit`` bytes of ``text``; null texts become empty."""
+#: What this worker process holds between tasks, as functions that let go of it.
+held: list[Callable[[], None]] = []
+
+
+def give_back(caches: bool = True) -> None:
+    """Return memory that this worker doesn't need now: unused pages, and caches of other operators."""
+    while caches and held:
+        held.pop()()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, keep: bool = False) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
+    """Cut batches into runs of rows holding about ``limit`` bytes of ``text``; null texts become empty.
+
+    Workers serve task after task: one that doesn't ``keep`` the caches of tokenisers frees them first.
+    """
+    give_back(not keep)
+    yield from _slices(batches, limit)
+    give_back(False)
+
+
+def _slices(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
     for batch in batches:
         if not batch.num_rows:
             continue

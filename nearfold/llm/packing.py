@@ -124,7 +124,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 number += 1
             return done
 
-        for rows, text in text_slices(batches, TEXT_SLICE):
+        for rows, text in text_slices(batches, TEXT_SLICE, keep=True):
             ids, off = encode(text)
             n = len(off) - 1
             ends = off[1:] + np.arange(1, n + 1)

@@ -148,7 +148,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, make=rank_encoder)
-        for rows, text in text_slices(batches):
+        for rows, text in text_slices(batches, keep=True):
             ids, off = encode(text)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(off.astype(np.int32), ids.astype(np.int32))], ["doc_id", "ids"])
 
@@ -162,7 +162,7 @@ def encoding_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, make=rank_encoder)
-        for rows, text in text_slices(batches):
+        for rows, text in text_slices(batches, keep=True):
             numbers, counts = encode.numbers(text)
             sizes = encode.lengths[numbers].astype(np.int64)
             ids = encode.flat[spans_index(encode.starts[numbers], sizes)]

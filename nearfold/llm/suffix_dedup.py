@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.arrowtext import offsets_of, raw_utf8, spans_index
+from nearfold.llm.arrowtext import give_back, offsets_of, raw_utf8, spans_index
 from nearfold.llm.common import as_docs, shuffle_parts, text_volume
 from nearfold.llm.words import mix
 
@@ -216,6 +216,7 @@ def _suffix_order(text: np.ndarray, symbols: int, depth: int) -> tuple[np.ndarra
 
 def _part_docs(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """A part's rows by id, their ids (null: above all), bytes and offsets."""
+    give_back()
     ids = pc.fill_null(table.column("doc_id"), _LAST).to_numpy()
     order = np.argsort(ids, kind="stable")
     table = table.take(pa.array(order)).combine_chunks()
@@ -319,6 +320,7 @@ ALL, SOME, SPLIT = 0, 1, 2
 
 def _match_contexts(table: pa.Table) -> pa.Table:
     """Marks for each part's contexts of one bucket."""
+    give_back()
     load = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]
     keys_, hashes_, counts_, docs_, kinds_, bytes_ = load("keys", "<u4"), load("hashes", "<u8"), load("counts", "<i4"), load("docs", "<i8"), load("kinds", np.uint8), load("bytes", np.uint8)
     sizes = [len(k) for k in keys_]

@@ -25,7 +25,7 @@ def token_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for rows, text in text_slices(batches):
+        for rows, text in text_slices(batches, keep=True):
             numbers, counts = encode.numbers(text)
             sums = np.concatenate(([0], np.cumsum(encode.lengths[numbers], dtype=np.int64)))
             ends = np.cumsum(counts)

@@ -181,7 +181,7 @@ def write_token_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, True)
-        for rows, text in text_slices(batches, TEXT_SLICE):
+        for rows, text in text_slices(batches, TEXT_SLICE, keep=True):
             ids, off = encode(text)
             doc = rows.column("doc_id")
             shard = np.searchsorted(edges, pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from nearfold.llm.arrowtext import offsets_of, raw_utf8, spans_index
+from nearfold.llm.arrowtext import held, offsets_of, spans_index
 
 #: Unicode white space as the pre-tokenisers' engines define it (a fixed value).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -228,10 +228,13 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
 def encoder(path: str, words: bool = False, make: Callable[[str, bool], ChunkEncoder] = library_encoder) -> ChunkEncoder:
-    """One encoder per worker process and vocabulary."""
+    """The worker process's encoder of this vocabulary; one of another vocabulary is dropped."""
     key = (path, words, make.__name__)
     if key not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[key] = make(path, words)
+    if _ENCODERS.clear not in held:
+        held.append(_ENCODERS.clear)
     return _ENCODERS[key]
 
 
@@ -243,4 +246,4 @@ def crc_rows(ids: np.ndarray, off: np.ndarray) -> list[int]:
     return [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
-__all__ = ["ChunkEncoder", "crc_rows", "encoder", "library_encoder", "piece_pattern", "raw_utf8", "vocabulary"]
+__all__ = ["ChunkEncoder", "crc_rows", "encoder", "library_encoder", "piece_pattern", "vocabulary"]
