@@ -3,15 +3,18 @@
 Linked-list positions wait in a bucket for each merge rank. A two-level bitmap marks the ranks whose
 buckets hold entries; find-first-set on the summary word, then on the word below it, gives the next
 rank in constant time. Entries whose pair has changed since are stale and are skipped when they surface.
-A piece of n bytes takes n pushes and at most 2n more, so very long pieces stay near linear.
+A piece of n bytes takes n entries and at most 2n more, so very long pieces stay near linear.
+
+Pieces share a queue in batches of about BATCH_BYTES: their lists never touch, so the order of merges
+between pieces is free, and each bucket is drained from left to right in one go.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator, Sequence
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from nearfold.llm.tokens import ChunkEncoder, encoder, piece_pattern, vocabulary
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bits of a bitmap word, as a power of two.
 WORD = 8
+#: Bytes of the pieces that one queue serves at once, about (a longer piece has a queue of its own).
+BATCH_BYTES = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,90 +38,142 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets by rank under a two-level bitmap. Within a rank the leftmost position comes first."""
+    """Buckets by rank under a two-level bitmap."""
 
     __slots__ = ("buckets", "summary", "words")
 
-    def __init__(self) -> None:
+    def __init__(self, ranks: np.ndarray) -> None:
+        """Holds every position whose rank is not negative."""
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        values, first = np.unique(ranks[at], return_index=True)
+        places, edges = at.tolist(), [*first.tolist(), len(at)]
         self.buckets: dict[int, list[int]] = {}
         self.words: dict[int, int] = {}
         self.summary = 0
+        for k, rank in enumerate(values.tolist()):
+            self.open(rank, places[edges[k] : edges[k + 1]])
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def open(self, rank: int, positions: list[int]) -> None:
+        """Start the bucket of a rank that has none."""
+        self.buckets[rank] = positions
         word = rank >> WORD
         self.words[word] = self.words.get(word, 0) | 1 << (rank & (1 << WORD) - 1)
         self.summary |= 1 << word
 
-    def pop(self) -> tuple[int, int]:
-        """The least rank and its leftmost position; the queue must not be empty."""
+    def take(self) -> tuple[int, list[int]]:
+        """The least rank and its bucket from left to right, taken out; the queue must not be empty."""
         word = (self.summary & -self.summary).bit_length() - 1
         bits = self.words[word]
         low = bits & -bits
+        bits ^= low
+        self.words[word] = bits
+        if not bits:
+            self.summary ^= 1 << word
         rank = word << WORD | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            bits ^= low
-            self.words[word] = bits
-            if not bits:
-                self.summary ^= 1 << word
-        return rank, position
-
-
-def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token; bytes that the ranks lack raise KeyError."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after = list(range(1, n + 1))  # end of the part that starts here, and so the next part's start
-    before = list(range(-1, n - 1))
-    pair = [-1] * n  # rank of this part with the next one; -1: none, or the part is gone
-    queue, get = RankQueue(), ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            pair[i] = rank
-            queue.push(rank, i)
-    while queue.summary:
-        rank, i = queue.pop()
-        if pair[i] != rank:
-            continue  # stale
-        gone = after[i]
-        end = after[gone]
-        after[i], pair[gone] = end, -1
-        if end < n:
-            before[end] = i
-            new = get(piece[i : after[end]])
-        else:
-            new = None
-        pair[i] = -1 if new is None else new
-        if new is not None:
-            queue.push(new, i)
-        left = before[i]
-        if left >= 0:
-            new = get(piece[left:end])
-            if new != pair[left]:
-                pair[left] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, left)
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return ids
+        bucket = self.buckets.pop(rank)
+        bucket.sort()
+        return rank, bucket
+
+
+class RankMerger:
+    """Encodes pre-tokens by merge ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.single = np.array([ranks.get(bytes((b,)), -1) for b in range(256)], np.int32)
+        self.double = np.full(1 << 16, -1, np.int32)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.double[token[0] << 8 | token[1]] = rank
+
+    def __call__(self, pieces: Sequence[bytes]) -> list[list[int]]:
+        """Ids of each piece; bytes that the ranks lack raise KeyError."""
+        whole = list(map(self.ranks.get, pieces))
+        out = [[] if rank is None else [rank] for rank in whole]
+        batch: list[int] = []
+        held = 0
+        for k, rank in enumerate(whole):
+            if rank is not None or not pieces[k]:
+                continue
+            if batch and held + len(pieces[k]) > BATCH_BYTES:
+                self._fill(pieces, batch, out)
+                batch, held = [], 0
+            batch.append(k)
+            held += len(pieces[k])
+        if batch:
+            self._fill(pieces, batch, out)
+        return out
+
+    def _fill(self, pieces: Sequence[bytes], batch: list[int], out: list[list[int]]) -> None:
+        own = [pieces[k] for k in batch]
+        ids, counts = self._merge(own)
+        at = offsets_of(counts).tolist()
+        for k, a, b in zip(batch, at[:-1], at[1:], strict=True):
+            out[k] = ids[a:b]
+
+    def _merge(self, pieces: list[bytes]) -> tuple[list[int], np.ndarray]:
+        """Ids of all pieces end to end, and their counts. Every piece is followed by one closing position."""
+        data = b"\0".join(pieces) + b"\0"
+        body = np.frombuffer(data, np.uint8)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        closing = np.cumsum(sizes + 1) - 1
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
+        code = "i" if kind is np.int32 else "q"
+        follow = np.arange(1, len(data) + 1, dtype=kind)
+        follow[closing] = 0  # what ends before it starts is no token
+        back = np.arange(-1, len(data) - 1, dtype=kind)
+        back[closing - sizes] = -1
+        first = np.full(len(data), -1, np.int32)
+        first[:-1] = self.double[body[:-1].astype(np.int32) << 8 | body[1:]]
+        first[closing], first[closing - 1] = -2, -1
+        queue = RankQueue(first)
+        after = array(code, follow.tobytes())  # end of the part that starts here, and so the next part's start
+        before = array(code, back.tobytes())
+        pair = array("i", first.tobytes())  # rank of this part with the next one; -1: none, -2: no part starts here
+        token = array("i", self.single[body].tobytes())
+        buckets, get = queue.buckets, self.ranks.get
+        while queue.summary:
+            rank, bucket = queue.take()
+            for k, i in enumerate(bucket):
+                if pair[i] != rank:
+                    continue  # stale
+                gone = after[i]
+                end = after[gone]
+                after[i], before[end], pair[gone], token[i] = end, i, -2, rank
+                pair[i] = least = new = get(data[i : after[end]], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(i)
+                    else:
+                        queue.open(new, [i])
+                left = before[i]
+                if left >= 0:
+                    new = get(data[left:end], -1)
+                    pair[left] = new
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(left)
+                        else:
+                            queue.open(new, [left])
+                        if new < least or least < 0:
+                            least = new
+                if 0 <= least < rank and k + 1 < len(bucket):  # that pair comes before the rest of this bucket
+                    queue.open(rank, bucket[k + 1 :])
+                    break
+        starts = np.frombuffer(pair, np.int32) != -2
+        ids = np.frombuffer(token, np.int32)[starts]
+        if len(ids) and ids.min() < 0:
+            raise KeyError(int(body[starts][ids < 0][0]))
+        return ids.tolist(), np.add.reduceat(starts.astype(np.int64), closing - sizes)
 
 
 class DecimalEncoder(ChunkEncoder):
     """Also keeps each chunk's ids as decimal text, and the vocabulary's bytes for decoding."""
 
     def __init__(self, ranks: dict[bytes, int], pieces) -> None:
-        super().__init__(lambda ps: [encode_piece(p.encode(), ranks) for p in ps], pieces, False, pieces)
+        merge = RankMerger(ranks)
+        super().__init__(lambda ps: merge([p.encode() for p in ps]), pieces, False, pieces)
         by_id = sorted(ranks.items(), key=lambda x: x[1])
         size = by_id[-1][1] + 1
         self.sizes = np.zeros(size, np.int64)
