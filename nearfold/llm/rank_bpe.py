@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from nearfold.llm.arrowtext import offsets_of, spans_index, text_slices
 from nearfold.llm.common import as_docs
-from nearfold.llm.tokens import ChunkEncoder, encoder, piece_pattern, vocabulary
+from nearfold.llm.tokens import ChunkEncoder, byte_pieces, encoder, piece_pattern, vocabulary
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bits of a bitmap word, as a power of two.
@@ -171,9 +171,9 @@ class RankMerger:
 class DecimalEncoder(ChunkEncoder):
     """Also keeps each chunk's ids as decimal text, and the vocabulary's bytes for decoding."""
 
-    def __init__(self, ranks: dict[bytes, int], pieces) -> None:
+    def __init__(self, ranks: dict[bytes, int], pieces, whole) -> None:
         merge = RankMerger(ranks)
-        super().__init__(lambda ps: merge([p.encode() for p in ps]), pieces, False, pieces)
+        super().__init__(lambda ps: merge([p.encode() for p in ps]), pieces, False, whole)
         by_id = sorted(ranks.items(), key=lambda x: x[1])
         size = by_id[-1][1] + 1
         self.sizes = np.zeros(size, np.int64)
@@ -196,7 +196,7 @@ class DecimalEncoder(ChunkEncoder):
 
 
 def rank_encoder(path: str, words: bool = False) -> DecimalEncoder:
-    return DecimalEncoder(read_ranks(path), piece_pattern().findall)
+    return DecimalEncoder(read_ranks(path), byte_pieces(), piece_pattern().findall)
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,18 @@ def piece_pattern():
     return regex.compile(text.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
 
 
+def byte_pieces() -> Callable[[str], list[str] | None]:
+    """Cuts a chunk of a byte-level vocabulary; None: the chunk, ASCII letters after at most one space, is one piece."""
+    find = piece_pattern().findall
+
+    def pieces(chunk: str) -> list[str] | None:
+        if chunk.isascii() and (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
+            return None
+        return find(chunk)
+
+    return pieces
+
+
 class ChunkEncoder:
     """Encodes Arrow string arrays; ``pieces`` cuts a chunk, ``encode`` turns distinct pieces into id lists.
 
@@ -77,7 +90,7 @@ class ChunkEncoder:
         self.starts[first : first + len(lists)] = at + offsets_of(sizes)[:-1]
         self.lengths[first : first + len(lists)] = sizes
         if total:
-            self.flat[at : at + total] = np.fromiter((i for ids in lists for i in ids), np.uint32, total)
+            self.flat[at : at + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
         self.filled, self.used = first + len(lists), at + total
         return first
 
@@ -89,13 +102,14 @@ class ChunkEncoder:
         found = [get(c, -1) for c in chunks]
         missing = [i for i, n in enumerate(found) if n < 0]
         if missing:
-            cut = [self.pieces(chunks[i]) or [chunks[i]] for i in missing]
-            new = list({p for ps in cut for p in ps if p not in self.parts})
-            once: dict[str, Sequence[int]] = {}
-            for piece, ids in zip(new, self.encode(new), strict=True):
-                (self.parts if len(piece) <= CACHE_LONGEST else once)[piece] = ids
-            look = lambda p: self.parts[p] if p in self.parts else once[p]
-            lists = [look(ps[0]) if len(ps) == 1 else [i for p in ps for i in look(p)] for ps in cut]
+            parts = self.parts
+            cut = [self.pieces(chunks[i]) or (chunks[i],) for i in missing]
+            new = list({p for ps in cut for p in ps if p not in parts})
+            parts.update(zip(new, self.encode(new), strict=True))
+            lists = [parts[ps[0]] if len(ps) == 1 else [i for p in ps for i in parts[p]] for ps in cut]
+            for piece in new:
+                if len(piece) > CACHE_LONGEST:
+                    del parts[piece]
             first = self._append(lists)
             for k, i in enumerate(missing):
                 found[i] = first + k
@@ -221,7 +235,7 @@ def library_encoder(path: str, words: bool) -> ChunkEncoder:
     def encode_bytes(pieces: list[str]) -> list[list[int]]:
         return [[t.id for t in merge(p.translate(ascii_table) if p.isascii() else "".join([alphabet[b] for b in p.encode()]))] for p in pieces]
 
-    return ChunkEncoder(encode_bytes, find, False, find)
+    return ChunkEncoder(encode_bytes, byte_pieces(), False, find)
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
