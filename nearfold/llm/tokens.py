@@ -29,6 +29,8 @@ WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 CACHE_CHUNKS = 600_000
 CACHE_LONGEST = 64
+#: Ids that the table may hold before it is thinned out (long chunks stay in it until then).
+CACHE_IDS = 1 << 23
 
 
 def vocabulary(name: str, path: str | None = None) -> str:
@@ -65,7 +67,7 @@ class ChunkEncoder:
     """Encodes Arrow string arrays; ``pieces`` cuts a chunk, ``encode`` turns distinct pieces into id lists.
 
     ``words`` says that white space is dropped (word-end vocabularies); else a leading space belongs to
-    its chunk. Caches are bounded by entries and by piece length, and are dropped whole when full.
+    its chunk. Caches are bounded by entries and by piece length; full ones keep what recurs, see ``thin_out``.
     """
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], pieces: Callable[[str], list[str] | None], words: bool, whole: Callable[[str], list[str]]):
@@ -75,7 +77,7 @@ class ChunkEncoder:
     def reset(self) -> None:
         self.chunks: dict[str, int] = {}
         self.parts: dict[str, Sequence[int]] = {}
-        self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.starts, self.lengths, self.hits = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.flat, self.used, self.filled = np.zeros(4096, np.uint32), 0, 0
 
     def _append(self, lists: list[Sequence[int]]) -> int:
@@ -83,7 +85,7 @@ class ChunkEncoder:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(sizes.sum())
         while self.filled + len(lists) > len(self.starts):
-            self.starts, self.lengths = np.concatenate((self.starts, np.zeros_like(self.starts))), np.concatenate((self.lengths, np.zeros_like(self.lengths)))
+            self.starts, self.lengths, self.hits = [np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths, self.hits)]
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         first, at = self.filled, self.used
@@ -96,8 +98,6 @@ class ChunkEncoder:
 
     def _numbers(self, chunks: list[str]) -> np.ndarray:
         """Table numbers of distinct chunks."""
-        if len(self.chunks) > CACHE_CHUNKS or len(self.parts) > CACHE_CHUNKS:
-            self.reset()
         get = self.chunks.get
         found = [get(c, -1) for c in chunks]
         missing = [i for i, n in enumerate(found) if n < 0]
@@ -115,7 +115,25 @@ class ChunkEncoder:
                 found[i] = first + k
                 if len(chunks[i]) <= CACHE_LONGEST:
                     self.chunks[chunks[i]] = first + k
-        return np.array(found, np.int64)
+        at = np.array(found, np.int64)
+        self.hits[at] += 1
+        return at
+
+    def full(self) -> bool:
+        return len(self.chunks) > CACHE_CHUNKS or len(self.parts) > CACHE_CHUNKS or self.used > CACHE_IDS
+
+    def thin_out(self) -> None:
+        """Drop all pieces and all chunks but the most frequent ones of those that came up more than once, at most
+        a quarter of a cache. Numbers of before are void."""
+        names, at = list(self.chunks), np.fromiter(self.chunks.values(), np.int64, len(self.chunks))
+        again = np.flatnonzero(self.hits[at] > 1)
+        kept = again[np.argsort(-self.hits[at[again]], kind="stable")[: CACHE_CHUNKS // 4]]
+        sizes = self.lengths[at[kept]].astype(np.int64)
+        ids, edges = self.flat[spans_index(self.starts[at[kept]], sizes)].tolist(), offsets_of(sizes).tolist()
+        self.reset()
+        self._append([ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        self.hits[: len(kept)] = 1
+        self.chunks = {names[k]: n for n, k in enumerate(kept.tolist())}
 
     def _plain(self, text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers of texts without odd runs, and their counts."""
@@ -147,7 +165,9 @@ class ChunkEncoder:
         return ids, offsets_of(sizes)[offsets_of(counts)]
 
     def numbers(self, text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Table numbers of all chunks in order, and each text's count of chunks."""
+        """Table numbers of all chunks in order, and each text's count of chunks; they hold until the next call."""
+        if self.full():
+            self.thin_out()
         odd = pc.match_substring_regex(text, ODD_CHARS).to_numpy(zero_copy_only=False) if self.words else pc.match_substring_regex(text, ODD_RUNS).to_numpy(zero_copy_only=False)
         if not odd.any():
             numbers, off = self._plain(text)
@@ -157,12 +177,7 @@ class ChunkEncoder:
         cut = [self.whole(t) for t in text.take(pa.array(rest)).to_pylist()]
         flat = pa.array([p for ps in cut for p in ps], pa.string())
         coded = pc.dictionary_encode(flat)
-        # one table reset at most may fall between the two lookups: the slow texts come first, by id lists
         slow = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
-        if len(self.chunks) > CACHE_CHUNKS or len(self.parts) > CACHE_CHUNKS:
-            kept = [self.flat[self.starts[n] : self.starts[n] + self.lengths[n]].tolist() for n in slow.tolist()]
-            self.reset()
-            slow = self._append(kept) + np.arange(len(kept), dtype=np.int64)
         fast, off = self._plain(text.take(pa.array(plain))) if len(plain) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         counts[plain], counts[rest] = np.diff(off), [len(ps) for ps in cut]
         out, to = np.zeros(len(fast) + len(slow), np.int64), offsets_of(counts)
