@@ -12,8 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nearfold.llm import exact_dedup, language_id, licenses, media, near_dedup, packing, rank_bpe, suffix_dedup, token_counts, token_files
-from nearfold.llm.tokens import encoder, vocabulary
+from nearfold.llm import exact_dedup, language_id, licenses, media, near_dedup, packing, rank_bpe, suffix_dedup, token_counts, token_files, tokens
+from nearfold.llm.tokens import encoder, library_encoder, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, part int, sig string"
 OPERATORS = {
@@ -164,6 +164,40 @@ def test_whole_text_ids(texts, name, end):
         assert ids[off[i] : off[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name, words, make", [("byte_bpe_50k.json", False, library_encoder), ("word_bpe_49k.json", True, library_encoder), (rank_bpe.VOCABULARY, False, rank_bpe.rank_encoder)])
+@pytest.mark.parametrize("limit", ["CACHE_CHUNKS", "CACHE_IDS"])
+def test_full_caches(monkeypatch, texts, name, words, make, limit):
+    """Caches that fill up in every call give the same ids."""
+    own = [x or "" for x in texts * 2]
+    want, off = make(vocabulary(name), words)(pa.array(own))
+    monkeypatch.setattr(tokens, limit, 40)
+    encode = make(vocabulary(name), words)
+    for a in range(0, len(own), 4):
+        got, _ = encode(pa.array(own[a : a + 4]))
+        assert (got == want[off[a] : off[min(a + 4, len(own))]]).all()
+
+
+def test_rank_merges_with_inversions():
+    """Random ranks, also such that a merge makes an earlier rank possible, against repeated least-pair merges."""
+    rng = np.random.default_rng(5)
+    word = lambda a, b: bytes(rng.choice([97, 98, 99], rng.integers(a, b)).tolist())
+    for _ in range(60):
+        longer = sorted({word(2, 6) for _ in range(40)})
+        rng.shuffle(longer)
+        ranks = {token: k for k, token in enumerate([b"a", b"b", b"c", *longer])}
+        pieces, want = [word(1, 40) for _ in range(30)], []
+        for piece in pieces:
+            parts = [piece] if piece in ranks else [piece[k : k + 1] for k in range(len(piece))]
+            while found := [(ranks[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]:  # noqa: B905
+                k = min(found)[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            want.append([ranks[p] for p in parts])
+        assert rank_bpe.RankMerger(ranks)(pieces) == want
+    with pytest.raises(KeyError):
+        rank_bpe.RankMerger({b"a": 0})([b"ab"])
+    assert rank_bpe.RankMerger({b"a": 0})([b"", b"a", b"aa"]) == [[], [0], [0, 0]]
+
+
 def test_token_files(spark, docs, texts):
     ids, off = encoder(vocabulary("word_bpe_49k.json"), True)(pa.array([t or "" for t in texts]))
     got, start = collected(token_files.token_files(docs)), 0
