@@ -99,6 +99,13 @@ def _upsert(b: DataFrame, q: DataFrame) -> DataFrame:
     return _ranked(index.search(q, K, engine="arrow"))
 
 
+def _upsert_share(b: DataFrame, q: DataFrame) -> DataFrame:
+    """An eleventh of the vectors moves to the next id's place and a seventh of the ids goes, whatever the table's size."""
+    moved = b.where(F.col("id") % 11 == 3).select((F.col("id") + 1).alias("id"), "vec")
+    index = flat.FlatIndex(b).upsert(moved)
+    return _ranked(index.remove(index.base.where(F.col("id") % 7 == 0).select("id")).search(q, K, engine="arrow"))
+
+
 def _on_both(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(*_both(spark, sf_dir))
 
@@ -149,6 +156,7 @@ QUERIES: dict[str, Query] = {
     "shard_assignment": _on_both(lambda b, q: topk.balanced_shards(b.select("id"), SHARDS)),
     "sorted_id_lists": _on_both(lambda b, q: topk.sorted_ids(flat.flat_search(b, q, K)).select("qid", F.array_join("ids", ",").alias("ids"))),
     "flat_upsert_remove": _on_both(_upsert),
+    "flat_upsert_remove_share": _on_both(_upsert_share),
     "index_round_trip": lambda s, d: _round_trip(s, *_both(s, d)),
     "sq_params": _on_both(lambda b, q: _rounded(quantise.sq_parameters(b), "minv", "scale")),
     "sq_codes": _on_both(lambda b, q: quantise.ScalarQuantiser.build(b).codes.select("id", F.posexplode("codes").alias("d", "code")).select("id", "d", F.col("code").cast("int").alias("code"))),
@@ -282,6 +290,9 @@ ORACLE_SQL: dict[str, str] = {
     "flat_upsert_remove": f"""WITH {_BASE}, moved AS (SELECT id + 100 AS id, v FROM b WHERE id < 60),
         u AS (SELECT id, v FROM b WHERE id NOT IN (SELECT id FROM moved) UNION ALL SELECT id, v FROM moved), n AS (SELECT * FROM u WHERE id <= 400) """
     + _top(f"SELECT qid, id, {_IP} AS dist FROM q, n"),
+    "flat_upsert_remove_share": f"""WITH {_BASE}, moved AS (SELECT id + 1 AS id, v FROM b WHERE id % 11 = 3),
+        u AS (SELECT id, v FROM b WHERE id NOT IN (SELECT id FROM moved) UNION ALL SELECT id, v FROM moved), n AS (SELECT * FROM u WHERE id % 7 <> 0) """
+    + _top(f"SELECT qid, id, {_IP} AS dist FROM q, n"),
     "index_round_trip": _FLAT,
     "sq_params": f"{_SQ} SELECT CAST(d - 1 AS INTEGER) AS d, round(minv, 6) AS minv, round(scale, 6) AS scale FROM sp",
     "sq_codes": f"{_SQ} SELECT id, CAST(d - 1 AS INTEGER) AS d, CAST(codes[d] AS INTEGER) AS code FROM sc, range(1, 65) t(d)",

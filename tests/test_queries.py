@@ -26,3 +26,11 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 200
+
+
+def test_upsert_remove_reaches_the_whole_table(spark):
+    """Ids far above 400 are found, and removed ones are not; the comparison with SQL is in test_query."""
+    large = "/root/testdata/sf0.1"
+    ids = QUERIES["flat_upsert_remove_share"](spark, large).toPandas()["id"]
+    assert (ids > 400).mean() > 0.5 and (ids % 7 != 0).all()
+    assert difference(QUERIES["flat_upsert_remove_share"](spark, large).toPandas(), sql_rows(large, ORACLE_SQL["flat_upsert_remove_share"])) == ""
