@@ -34,3 +34,11 @@ def test_upsert_remove_reaches_the_whole_table(spark):
     ids = QUERIES["flat_upsert_remove_share"](spark, large).toPandas()["id"]
     assert (ids > 400).mean() > 0.5 and (ids % 7 != 0).all()
     assert difference(QUERIES["flat_upsert_remove_share"](spark, large).toPandas(), sql_rows(large, ORACLE_SQL["flat_upsert_remove_share"])) == ""
+
+
+def test_hundredths_are_the_query_set(spark):
+    """Every hundredth row is a query and every row can be found, ids below 20 too; a query finds itself first."""
+    rows = QUERIES["flat_ip_topk_arrow_hundredths"](spark, "/root/testdata/sf0.1").toPandas()
+    assert sorted(rows["qid"].unique()) == list(range(0, 2000, 100))
+    assert (rows[rows["rank"] == 1]["qid"] == rows[rows["rank"] == 1]["id"]).all()
+    assert (rows["id"] < 20).any() and all(name.removesuffix("_hundredths") in ORACLE_SQL for name in QUERIES if name.endswith("_hundredths"))
