@@ -42,3 +42,10 @@ def test_hundredths_are_the_query_set(spark):
     assert sorted(rows["qid"].unique()) == list(range(0, 2000, 100))
     assert (rows[rows["rank"] == 1]["qid"] == rows[rows["rank"] == 1]["id"]).all()
     assert (rows["id"] < 20).any() and all(name.removesuffix("_hundredths") in ORACLE_SQL for name in QUERIES if name.endswith("_hundredths"))
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_wide_searches_reach_recall(spark, sf):
+    """Held-out queries find nine tenths of their true neighbours, on the larger table too."""
+    recall = QUERIES["recall_by_method_wide"](spark, sf).toPandas().set_index("method")["avg_recall"]
+    assert len(recall) == 3 and (recall >= 0.9).all(), recall
