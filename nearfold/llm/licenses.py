@@ -4,6 +4,7 @@ alignment of the word sequences reports matched coverage and spans."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,8 @@ TEMPLATES = {
 GRAM, WINDOW = 3, 2
 #: Diagonals on either side that an alignment may drift to.
 BAND = 8
+#: Words that may be inserted between two parts of one match, as a multiple of the template's words.
+GAP = 4
 MIN_COVERAGE = 0.75
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -91,31 +94,105 @@ class TemplateIndex:
         return query, self.template[entry], self.place[entry]
 
 
-def banded_alignment(doc: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+def banded_alignment(doc: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
     """Best local alignment on the diagonals low..high (document minus template position): matched words,
-    and the document span. A match scores 2, a mismatch or gap -1; of equals the first end wins."""
+    the document span and the template span. A match scores 2, a mismatch or gap -1; of equals the first end wins."""
     width = high - low + 1
     doc_list = doc.tolist()
-    score, start, count = [0] * width, [0] * width, [0] * width
-    best = (0, 0, 0, 0)
+    score, start, count = [0] * width, [(0, 0)] * width, [0] * width
+    top, best = 0, (0, 0, 0, 0, 0)
     for j, word in enumerate(template.tolist()):
-        new_score, new_start, new_count = [0] * width, [0] * width, [0] * width
-        for b in range(width):
+        new_score, new_start, new_count = [0] * width, [(0, 0)] * width, [0] * width
+        for b in range(max(0, -j - low), min(width, len(doc_list) - j - low)):
             i = j + low + b
-            if not 0 <= i < len(doc_list):
-                continue
             same = doc_list[i] == word
-            s, at, n = score[b] + (2 if same else -1), start[b] if score[b] else i, (count[b] if score[b] else 0) + same
+            s, at, n = score[b] + (2 if same else -1), start[b] if score[b] else (i, j), (count[b] if score[b] else 0) + same
             if b + 1 < width and score[b + 1] - 1 > s:  # template word without partner
                 s, at, n = score[b + 1] - 1, start[b + 1], count[b + 1]
             if b and new_score[b - 1] - 1 > s:  # document word without partner
                 s, at, n = new_score[b - 1] - 1, new_start[b - 1], new_count[b - 1]
             if s > 0:
                 new_score[b], new_start[b], new_count[b] = s, at, n
-                if s > best[0]:
-                    best = (s, n, at, i + 1)
+                if s > top:
+                    top, best = s, (n, at[0], i + 1, at[1], j + 1)
         score, start, count = new_score, new_start, new_count
-    return best[1:]
+    return best
+
+
+def alignments(own: np.ndarray, want: np.ndarray, low: int, high: int, least: float) -> tuple[list[tuple], list[tuple]]:
+    """All disjoint alignments of a template on the diagonals low..high of a document, as ``banded_alignment``
+    returns them: those with ``least`` matched words, and the best shorter ones of what is left."""
+    whole, parts = [], []
+    # an alignment with a positive score spans less than 3 x the template: one that starts in a window's first half ends in it
+    half, some = 3 * len(want), min(GRAM, least)
+    todo = [(max(0, low), min(len(own), high + len(want) + 1))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < min(GRAM, len(want)):
+            continue
+        end = min(b, a + 2 * half)
+        first, last = max(low - a, 1 - len(want)), min(high - a, end - a - 1)
+        if first > last:
+            continue
+        n, s, e, ts, te = banded_alignment(own[a:end], want, first, last)
+        s, e = a + s, a + e
+        if end < b and (n < some or s >= a + half):  # it may go on behind the window
+            todo += [(s, b), (a, s)] if s >= a + half else [(a + half, b)]
+            continue
+        if n >= least:
+            whole.append((n, s, e, ts, te))
+        elif n >= some:
+            parts.append((n, s, e, ts, te))
+        else:
+            continue
+        todo += [(e, b), (a, s)]
+    return whole, parts
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Alignments that share no document word, those with more matched words first; in document order."""
+    kept: list[tuple] = []
+    for x in sorted(set(found), key=lambda x: (-x[0], x[1], x[2])):
+        at = bisect_left(kept, x[1], key=lambda y: y[1])
+        if (at == len(kept) or x[2] <= kept[at][1]) and (not at or kept[at - 1][2] <= x[1]):
+            kept.insert(at, x)
+    return kept
+
+
+def joined(parts: list[tuple], whole: list[tuple], words: int, least: float) -> list[tuple]:
+    """Neighbouring parts of one template, in its order, that reach ``least`` matched words together. Between two
+    of them lie at most GAP x the template's words, and no other match of it."""
+    out, at = [], 0
+    while at < len(parts):
+        n, s, e, _, te = parts[at]
+        used = at
+        for k in range(at + 1, len(parts)):
+            m, s2, e2, ts2, te2 = parts[k]
+            if n >= least or s2 - e > GAP * words or (i := bisect_left(whole, e, key=lambda y: y[1])) < len(whole) and whole[i][1] < s2:
+                break
+            more = m - max(0, te - ts2)
+            if te2 > te and more > 0:
+                n, e, te, used = n + more, e2, te2, k
+        if n >= least:
+            out.append((n, s, e, 0, te))
+            at = used
+        at += 1
+    return out
+
+
+def places(own: np.ndarray, want: np.ndarray, bands: list[tuple[int, int]], least: float) -> list[tuple[int, int, int]]:
+    """Matched words and document span of every place of a template near the given ranges of diagonals."""
+    whole, parts = [], []
+    for low, high in bands:
+        w, p = alignments(own, want, low - BAND, high + BAND, least)
+        whole += w
+        parts += p
+    whole = apart(whole)
+    if len(parts) > 1:
+        taken = set(whole)
+        parts = [x for x in apart(whole + [(x[0] - len(want), *x[1:]) for x in set(parts)]) if x not in taken]
+        whole = apart(whole + joined([(x[0] + len(want), *x[1:]) for x in parts], whole, len(want), least))
+    return [x[:3] for x in whole]
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -123,7 +200,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Whole texts are scanned; words are compared without case and outer punctuation. ``coverage`` is the
     matched part of the template's words; spans count the document's words. A template that occurs at
-    several places gives a row for each. Null, empty and clean texts give no rows; repeated rows are
+    several places gives a row for each, also on consecutive lines; rows of one template share no word. Parts
+    that only together cover enough, around an insertion of at most GAP x the template's words, are one row. Null, empty and clean texts give no rows; repeated rows are
     scanned one by one.
     """
     index = TemplateIndex(templates or TEMPLATES)
@@ -143,15 +221,13 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             first = np.flatnonzero(fresh)
             found: list[tuple] = []
             ends = np.append(first[1:], len(doc)).tolist() if len(first) else []
+            bands: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for a, b in zip(first.tolist(), ends, strict=True):
-                d, t = int(doc[a]), int(template[a])
-                own, want = words[off[d] : off[d + 1]], index.words[t]
-                low, high = int(diagonal[a]) - BAND, int(diagonal[b - 1]) + BAND
-                base = max(0, low)
-                n, s, e = banded_alignment(own[base : high + len(want) + 1], want, low - base, high - base)
-                if n >= min_coverage * len(want):
-                    found.append((d, index.names[t], len(want), n, n / len(want), base + s, base + e))
-            found = list(dict.fromkeys(found))
+                bands.setdefault((int(doc[a]), int(template[a])), []).append((int(diagonal[a]), int(diagonal[b - 1])))
+            for (d, t), ranges in bands.items():
+                want = index.words[t]
+                for n, s, e in places(words[off[d] : off[d + 1]], want, ranges, min_coverage * len(want)):
+                    found.append((d, index.names[t], len(want), n, n / len(want), s, e))
             if found:
                 d, *cols = zip(*found, strict=True)
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())

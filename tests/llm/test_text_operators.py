@@ -152,6 +152,31 @@ def test_licenses(spark):
     assert not [g for g in got if g[0] in (3, 5)]
 
 
+def test_licenses_on_consecutive_lines_and_around_insertions(spark):
+    """Copies of short lines that lie closer than the band are all found; parts around a long insertion count together."""
+    rng = np.random.default_rng(4)
+    line, notice, gap = licenses.TEMPLATES["mit-line"], licenses.TEMPLATES["mit-grant"].split(), words(rng, 40)
+    half, n = len(notice) // 2, len(notice)
+    rows = [
+        (1, f"{line}\n" * 4),
+        (2, "Licensed under CC BY-NC 4.0.\n" * 300),
+        (3, " ".join([*notice[:half], gap, *notice[half:]])),
+        (4, " ".join([*notice[:half], words(rng, 40 * n), *notice[half:]])),
+        (5, " ".join([*notice[:half], gap, *notice[:half]])),
+        (6, " ".join([gap, *notice[:half], gap, *notice[half:], *notice, line, line])),
+    ]
+    got = collections.defaultdict(list)
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["template"], r["word_start"], r["word_end"], r["coverage"]))
+    spans = lambda d, t: sorted(x[1:3] for x in got[d] if x[0] == t)
+    assert spans(1, "mit-line") == [(5 * i, 5 * i + 5) for i in range(4)]
+    assert spans(2, "cc-by-nc-4.0-line") == [(5 * i, 5 * i + 5) for i in range(300)]
+    assert got[3] == [("mit-grant", 0, n + 40, 1.0)]
+    assert got[4] == [] and got[5] == []
+    assert spans(6, "mit-grant") == [(40, 80 + n), (80 + n, 80 + 2 * n)]
+    assert spans(6, "mit-line") == [(80 + 2 * n, 85 + 2 * n), (85 + 2 * n, 90 + 2 * n)]
+
+
 @pytest.mark.parametrize("name, end", [("word_bpe_49k.json", 2), ("byte_bpe_50k.json", None)])
 def test_whole_text_ids(texts, name, end):
     from tokenizers import Tokenizer
