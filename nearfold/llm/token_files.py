@@ -26,24 +26,22 @@ END_ID = 2
 #: UTF-8 bytes of text that a shard should hold.
 SHARD_BYTES = 6 << 20
 MAGIC = b"RPG1"
-#: Rounds of replacement, new rules in each, and the least count of a pair worth a rule.
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 2048, 16
+#: New rules of a round of replacement, and the least count of a pair worth a rule.
+RULES_A_ROUND, LEAST_COUNT = 2048, 16
 TEXT_SLICE = 12 << 20
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grammar of one shard: symbols, each document's end in them, and the rules (n x 2).
 
     Each round counts all pairs that lie inside a document, takes the most frequent ones (ties by pair)
-    and replaces their occurrences from left to right. A round ends the loop when no pair is frequent.
+    and replaces their occurrences from left to right. Rounds go on until no pair is frequent.
     """
     symbols, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     top = base
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         inner = ~last[:-1]
         ordered = np.sort(pairs[inner])

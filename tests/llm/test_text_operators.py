@@ -241,6 +241,22 @@ def test_repair_random_access():
         assert (shard.span(4, start, n) == ids[901 + start : 901 + start + n]).all()
 
 
+def test_repair_leaves_no_frequent_pair():
+    """Many copies of a passage collapse to about a symbol each, and no pair that could be replaced stays frequent."""
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 900, 500)
+    own = [np.append(passage if i % 2 else rng.integers(0, 900, 40), 999) for i in range(400)]
+    ids, ends = np.concatenate(own).astype(np.uint32), np.cumsum([len(x) for x in own])
+    symbols, done, rules = token_files.repair(ids, ends, 1000)
+    inner = np.ones(len(symbols) - 1, bool)
+    inner[done[:-1] - 1] = False
+    pairs = collections.Counter(zip(symbols[:-1][inner].tolist(), symbols[1:][inner].tolist(), strict=True))
+    assert max(pairs.values()) < token_files.LEAST_COUNT and len(rules)
+    assert done[1] - done[0] <= 2 and len(symbols) < 200 * 41 + 200 * 2
+    shard = token_files.Shard(token_files.write_shard(np.arange(400), ids, ends, 1000))
+    assert (shard.decode() == ids).all() and (shard.span(1, 100, 300) == passage[100:400]).all()
+
+
 def test_packing(spark, docs, texts):
     ids, off = encoder(vocabulary("byte_bpe_50k.json"))(pa.array([t or "" for t in texts]))
     rows = packing.pack_documents(docs, capacity=64, grain=16).collect()
