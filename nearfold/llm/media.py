@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from nearfold.llm.arrowtext import offsets_of, raw_utf8, spans_index, text_slices
-from nearfold.llm.common import as_docs
+from nearfold.llm.common import as_docs, saved
 
 #: Samples in a thumbnail row, and so bytes in a payload unit.
 UNIT = 192
@@ -365,3 +365,8 @@ def media_features(media: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *map(pa.array, cols.values())], ["doc_id", "n_bytes", *cols])
 
     return media.mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def stored_features(df: DataFrame) -> DataFrame:
+    """Write the media column as a table in the shared folder and compute the features of the bytes read back."""
+    return media_features(saved(encode_media(df), "media"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import glob
 import hashlib
 import re
 import zlib
@@ -94,6 +95,18 @@ def test_media(spark, docs, texts):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def test_media_query_reads_stored_bytes(spark, tmp_path):
+    """The query's media column lies in the shared folder, with the features of what is stored."""
+    from nearfold.llm.queries import QUERIES
+
+    spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    where = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    old = set(glob.glob(f"{where}/nearfold/media-*"))
+    got = sorted(QUERIES["op2_jpeg_media"](spark, str(tmp_path)).collect())
+    (new,) = set(glob.glob(f"{where}/nearfold/media-*")) - old
+    assert len(got) == 20 and got == sorted(media.media_features(spark.read.parquet(new)).collect())
+
+
 def test_general_jpeg():
     """A two-component image with AC terms, subsampling and one interval, written by hand."""
     rng = np.random.default_rng(2)
