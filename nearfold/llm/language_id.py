@@ -22,7 +22,7 @@ from nearfold.llm.common import as_docs
 
 #: Hashed n-gram dimensions, and centroids of a language.
 DIMS, CENTROIDS, ITERATIONS = 4096, 4, 10
-#: Bound of the training sample: documents of one language, the first by a hash of their text.
+#: Bound of the training sample: distinct texts of one language, the first by their hash.
 SAMPLE_PER_LANGUAGE = 500
 #: A text is rejected if its best cosine is below this part of the least one of that centroid's members. A
 #: text with few n-grams is far from every centroid by nature, about as the root of their number, so cosines
@@ -122,17 +122,17 @@ def cluster(vectors: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, n
 
 
 def fit(docs: DataFrame, labelled: Column, label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> CentroidModel:
-    """Train on at most ``per_language`` rows of each label for which ``labelled`` holds.
+    """Train on at most ``per_language`` distinct texts of each label for which ``labelled`` holds; copies count once.
 
     Only the bounded sample's vectors come to the driver. Rows without label or text are left out; without
     any labelled row the model has no centroids.
     """
     rows = docs.where(labelled & F.col(label_col).isNotNull() & F.col("text").isNotNull())
-    keyed = rows.select("doc_id", F.col(label_col).alias("lang"), F.xxhash64("text").alias("h"))
-    order = W.partitionBy("lang").orderBy("h", "doc_id")
+    keyed = rows.select("doc_id", F.col(label_col).alias("lang"), F.xxhash64("text").alias("h")).groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    order = W.partitionBy("lang").orderBy("h")
     picked = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", "lang", "h")
-    # at most per_language rows a language: small whatever the corpus
-    sample = rows.withColumn("lang", F.col(label_col)).withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "lang", "h"]).select("doc_id", "text", "lang")
+    # at most per_language rows a language: small whatever the corpus; rows that repeat an id are taken once
+    sample = rows.withColumn("lang", F.col(label_col)).withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "lang", "h"]).dropDuplicates(["lang", "h"]).select("doc_id", "text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, text in text_slices(batches):

@@ -154,6 +154,17 @@ def test_language(spark):
     assert [got[i]["lang_pred"] for i in (2, 3)] == ["und", "und"] and got[2]["score"] == 0
 
 
+def test_language_sample_counts_distinct_texts(spark):
+    """Copies, also under one id, leave the fitted model as it is, and the bound counts distinct texts."""
+    rng = np.random.default_rng(8)
+    rows = [(i, words(rng, 30), "en") for i in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    (first,) = plain.orderBy(F.xxhash64("text")).limit(1).collect()
+    hot = plain.union(spark.createDataFrame([(1000 + i // 2, first["text"], "en") for i in range(200)] + [tuple(first)] * 5, plain.schema))
+    a, b = (language_id.fit(d, F.lit(True), per_language=40) for d in (plain, hot))
+    assert (a.idf == b.idf).all() and (a.centroids == b.centroids).all() and (a.floors == b.floors).all()
+
+
 def test_licenses(spark):
     line = licenses.TEMPLATES["gpl-3.0-line"]
     notice = licenses.TEMPLATES["mit-grant"].upper()
