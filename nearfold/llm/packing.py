@@ -4,6 +4,9 @@ Documents are cut at the window size; what is left over is cut into grains and d
 largest differencing: of all partial partitions, the two with the largest differences are merged so that
 their imbalances oppose, until one is left. The windows come out nearly equal; if one exceeds the
 capacity, the window count rises and differencing starts again.
+
+Partitions pack their own documents. The last run of a partition, where it would leave windows short, goes
+to a second round, in which GROUP neighbouring partitions pack their last runs together.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nearfold.llm.arrowtext import text_slices
-from nearfold.llm.common import as_docs
+from nearfold.llm.common import as_docs, saved
 from nearfold.llm.tokens import encoder, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,7 +31,9 @@ END_ID = 1
 GRAIN = 512
 #: Left-over pieces of one differencing run.
 BLOCK = 2048
-TEXT_SLICE = 8 << 20
+#: Partitions whose last runs meet in the second round, and the part of their windows that a last run must fill to stay.
+GROUP, FILLED = 64, 0.99
+_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -90,41 +96,44 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], list(names))
+
+
+def _dealt(pieces: list[tuple], number: int, capacity: int) -> list[tuple]:
+    """Pieces (id, start, length, crc, tokens) in windows that are numbered from ``number`` on."""
+    done = []
+    for chosen in windows([p[2] for p in pieces], capacity):
+        at = 0
+        for i in chosen:
+            done.append((*pieces[i], number, at))
+            at += pieces[i][2]
+        number += 1
+    return done
+
+
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, grain: int = GRAIN, block: int = BLOCK) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document is its ids and ``end_id``; null and empty texts are that id alone, repeated rows are packed
-    one by one. Each id lies in one piece. Sequences hold at most ``capacity`` ids, without gaps. Each
-    partition packs its own documents, in runs of ``block`` left-over pieces, so nothing is shuffled;
-    sequence ids count within a partition, whose number is in their high bits. An empty table gives no rows.
+    one by one, a null id stays null. Each id lies in one piece. Sequences hold at most ``capacity`` ids,
+    without gaps. Each partition packs its own documents, in runs of ``block`` left-over pieces; only last
+    runs (less than ``block`` pieces a partition) are shuffled. Sequence ids count within a partition, or a
+    group of the second round, whose number is in their high bits. An empty table gives no rows.
     """
     path = vocabulary(VOCABULARY, path)
+    names = (*_COLUMNS, "part", "place")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 33
+        part = TaskContext.get().partitionId()
+        number = part << 33
         encode = encoder(path)
         rest: list[tuple] = []
-
-        def full_batch(rows: list[tuple]) -> pa.RecordBatch:
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
-
-        def deal(pieces: list[tuple]) -> list[tuple]:
-            nonlocal number
-            done = []
-            for chosen in windows([p[2] for p in pieces], capacity):
-                at = 0
-                for i in chosen:
-                    done.append((*pieces[i], number, at))
-                    at += pieces[i][2]
-                number += 1
-            return done
-
-        for rows, text in text_slices(batches, TEXT_SLICE, keep=True):
+        for rows, text in text_slices(batches, keep=True):
             ids, off = encode(text)
             n = len(off) - 1
             ends = off[1:] + np.arange(1, n + 1)
@@ -143,12 +152,30 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     size = min(grain, total - s)
                     rest.append((doc, s, size, crc32(view[4 * (a + s) : 4 * (a + s + size)]), total))
                 if len(rest) >= block:
-                    out += deal(rest)
+                    done = _dealt(rest, number, capacity)
+                    number = done[-1][5] + 1
+                    out += done
                     rest = []
             if out:
-                yield full_batch(out)
+                yield _batch([(*x, part, 0) for x in out], names)
         if rest:
-            yield full_batch(deal(rest))
-
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return as_docs(df, id_col, text_col).mapInArrow(pack, schema)
+            done = _dealt(rest, number, capacity)
+            used = done[-1][5] + 1 - number
+            if sum(p[2] for p in rest) < FILLED * used * capacity:
+                done = [(*p, None, 0) for p in rest]
+            yield _batch([(*x, part, i) for i, x in enumerate(done)], names)
+
+    def pack_rest(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("part", "ascending"), ("place", "ascending")])
+        number = 1 << 61 | table.column("part")[0].as_py() // GROUP << 33
+        pieces = list(zip(*(table.column(c).to_pylist() for c in _COLUMNS[:5]), strict=True))
+        out: list[tuple] = []
+        for at in range(0, len(pieces), block):
+            out += _dealt(pieces[at : at + block], number, capacity)
+            number = out[-1][5] + 1
+        return pa.Table.from_batches([_batch(out, _COLUMNS)])
+
+    schema = ", ".join(f"{c} long" for c in _COLUMNS)
+    pieces = saved(as_docs(df, id_col, text_col).mapInArrow(pack, schema + ", part long, place long"), "pieces")
+    last = pieces.where(F.col("sequence_id").isNull()).groupBy(F.floor(F.col("part") / GROUP)).applyInArrow(pack_rest, schema)
+    return pieces.where(F.col("sequence_id").isNotNull()).select(*_COLUMNS).unionByName(last)

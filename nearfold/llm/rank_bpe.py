@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from nearfold.llm.arrowtext import offsets_of, spans_index, text_slices
 from nearfold.llm.common import as_docs
-from nearfold.llm.tokens import ChunkEncoder, byte_pieces, encoder, piece_pattern, vocabulary
+from nearfold.llm.tokens import ChunkEncoder, encoder, piece_pattern, vocabulary
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bits of a bitmap word, as a power of two.
@@ -89,31 +89,35 @@ class RankMerger:
 
     def __call__(self, pieces: Sequence[bytes]) -> list[list[int]]:
         """Ids of each piece; bytes that the ranks lack raise KeyError."""
-        whole = list(map(self.ranks.get, pieces))
-        out = [[] if rank is None else [rank] for rank in whole]
+        ids, sizes = self.flat(pieces)
+        flat, at = ids.tolist(), offsets_of(sizes).tolist()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def flat(self, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and how many each has."""
+        ranks = self.ranks
+        whole = np.fromiter((ranks.get(p, -1) if p else -2 for p in pieces), np.int64, len(pieces))
+        sizes = (whole != -2).astype(np.int64)
+        parts: list[tuple[list[int], np.ndarray]] = []
         batch: list[int] = []
         held = 0
-        for k, rank in enumerate(whole):
-            if rank is not None or not pieces[k]:
-                continue
+        for k in np.flatnonzero(whole == -1).tolist():
             if batch and held + len(pieces[k]) > BATCH_BYTES:
-                self._fill(pieces, batch, out)
+                parts.append((batch, self._merge([pieces[i] for i in batch], sizes, batch)))
                 batch, held = [], 0
             batch.append(k)
             held += len(pieces[k])
         if batch:
-            self._fill(pieces, batch, out)
-        return out
-
-    def _fill(self, pieces: Sequence[bytes], batch: list[int], out: list[list[int]]) -> None:
-        own = [pieces[k] for k in batch]
-        ids, counts = self._merge(own)
-        at = offsets_of(counts).tolist()
-        for k, a, b in zip(batch, at[:-1], at[1:], strict=True):
-            out[k] = ids[a:b]
-
-    def _merge(self, pieces: list[bytes]) -> tuple[list[int], np.ndarray]:
-        """Ids of all pieces end to end, and their counts. Every piece is followed by one closing position."""
+            parts.append((batch, self._merge([pieces[i] for i in batch], sizes, batch)))
+        ends = offsets_of(sizes)
+        ids = np.zeros(int(ends[-1]), np.int64)
+        ids[ends[:-1][whole >= 0]] = whole[whole >= 0]
+        for own, merged in parts:
+            ids[spans_index(ends[own], sizes[own])] = merged
+        return ids, sizes
+
+    def _merge(self, pieces: list[bytes], counts: np.ndarray, at: list[int]) -> np.ndarray:
+        """Ids of all pieces end to end; their numbers go to ``counts``. Every piece is followed by one closing position."""
         data = b"\0".join(pieces) + b"\0"
         body = np.frombuffer(data, np.uint8)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -165,15 +169,16 @@ class RankMerger:
         ids = np.frombuffer(token, np.int32)[starts]
         if len(ids) and ids.min() < 0:
             raise KeyError(int(body[starts][ids < 0][0]))
-        return ids.tolist(), np.add.reduceat(starts.astype(np.int64), closing - sizes)
+        counts[at] = np.add.reduceat(starts.astype(np.int64), closing - sizes)
+        return ids
 
 
 class DecimalEncoder(ChunkEncoder):
-    """Also keeps each chunk's ids as decimal text, and the vocabulary's bytes for decoding."""
+    """Also holds each id in decimal, and its bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pieces, whole) -> None:
-        merge = RankMerger(ranks)
-        super().__init__(lambda ps: merge([p.encode() for p in ps]), pieces, False, whole)
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        merge, pieces = RankMerger(ranks), piece_pattern().findall
+        super().__init__(lambda ps: merge.flat([p.encode() for p in ps]), pieces, False, pieces)
         by_id = sorted(ranks.items(), key=lambda x: x[1])
         size = by_id[-1][1] + 1
         self.sizes = np.zeros(size, np.int64)
@@ -181,22 +186,23 @@ class DecimalEncoder(ChunkEncoder):
             self.sizes[i] = len(token)
         self.at = offsets_of(self.sizes)[:-1]
         self.bytes = np.frombuffer(b"".join(token for token, _ in by_id), np.uint8)
-
-    def reset(self) -> None:
-        super().reset()
-        self.decimal: list[str] = []
-
-    def _append(self, lists: list[Sequence[int]]) -> int:
-        self.decimal += [" ".join(map(str, ids)) for ids in lists]
-        return super()._append(lists)
+        width = len(str(size))
+        digits = [f"{i} ".encode() for i in range(size)]
+        self.digits = np.frombuffer(b"".join(d.ljust(width + 1) for d in digits), np.uint8).reshape(size, width + 1)
+        self.shown = np.arange(width + 1) < np.array([len(d) for d in digits])[:, None]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids, end to end."""
         return self.bytes[spans_index(self.at[ids], self.sizes[ids])]
 
+    def decimal(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids in decimal, each with a space behind it, and the ends of each."""
+        shown = self.shown[ids]
+        return self.digits[ids][shown], offsets_of(shown.sum(axis=1))
+
 
 def rank_encoder(path: str, words: bool = False) -> DecimalEncoder:
-    return DecimalEncoder(read_ranks(path), byte_pieces(), piece_pattern().findall)
+    return DecimalEncoder(read_ranks(path))
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -212,6 +218,12 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return as_docs(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _digests(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """SHA-256 of spans of some bytes."""
+    view = memoryview(np.ascontiguousarray(body))
+    return [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def encoding_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the ids in decimal, and of the bytes that
     the ids decode to. Null and empty texts have 0 tokens and the digests of nothing; repeated rows stay."""
@@ -220,17 +232,12 @@ def encoding_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, make=rank_encoder)
         for rows, text in text_slices(batches, keep=True):
-            numbers, counts = encode.numbers(text)
-            sizes = encode.lengths[numbers].astype(np.int64)
-            ids = encode.flat[spans_index(encode.starts[numbers], sizes)]
-            off = offsets_of(counts)
-            ends = offsets_of(sizes)[off]
-            plain = memoryview(np.ascontiguousarray(encode.decode(ids)))
-            cut = offsets_of(encode.sizes[ids])[ends].tolist()
-            full, decimal = sizes > 0, encode.decimal
-            kept, edge = numbers[full].tolist(), offsets_of(full.astype(np.int64))[off].tolist()
-            shas = [hashlib.sha256(" ".join([decimal[k] for k in kept[a:b]]).encode()).hexdigest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            texts = [hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            ids, ends = encode(text)
+            plain, cut = encode.decode(ids), offsets_of(encode.sizes[ids])[ends]
+            shown, edge = encode.decimal(ids)
+            edge = edge[ends]
+            shas = _digests(shown, edge[:-1], np.maximum(edge[1:] - 1, edge[:-1]))  # without the last space
+            texts = _digests(plain, cut[:-1], cut[1:])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(ends)), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return as_docs(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +25,7 @@ def token_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for rows, text in text_slices(batches, keep=True):
-            numbers, counts = encode.numbers(text)
-            sums = np.concatenate(([0], np.cumsum(encode.lengths[numbers], dtype=np.int64)))
-            ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sums[ends] - sums[ends - counts])], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(encode.lengths_of(text))], ["doc_id", "n_tokens"])
 
     return as_docs(df, id_col, text_col).mapInArrow(count, "doc_id long, n_tokens long")
 

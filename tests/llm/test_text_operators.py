@@ -213,8 +213,23 @@ def test_whole_text_ids(texts, name, end):
         assert ids[off[i] : off[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name, end", [("word_bpe_49k.json", 2), ("byte_bpe_50k.json", None)])
+def test_chunks_of_every_class(name, end):
+    """Apostrophes, cases, digits, marks, scripts and white space at every place, against the library."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary(name))
+    t.encode_special_tokens = True
+    own = ["it's we'll DON'T I'M 'S", "a\tb c\td", "É È Äß ÀÉ'S", "naïve Ŝ ſ İ ŉ ǰ Ⱥ ǅ x", "x² ½ 3¼4 １２", "😀 a😀b 漢字 テスト", "a\u00a0b c\u2003d", "\n a\nb", "\na", "a\n", "a ", "", " ", "a\u0301b cafe\u0301", "a\u00adb", "Ω Ωω Σς ΑΣ", "x'", "'' ' '", "it's\nwe're", "\x85a", "a\u200bb", " lead", "tab\tend\t", "123 4567 89a1b2", "ⅷ Ⅷ", " ª º µ ×÷ ¡¿", "Ǆǅǆ Ȿ Ɀ ɐ Ɐ", "x" * 70_000, "1" * 300]
+    own += [chr(c) + "a " + chr(c) for c in range(0x20, 0x2A0)]
+    ids, off = encoder(vocabulary(name), end == 2)(pa.array(own))
+    assert (encoder(vocabulary(name), end == 2).lengths_of(pa.array(own)) == np.diff(off)).all()
+    for i, x in enumerate(own):
+        assert ids[off[i] : off[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x[:50]
+
+
 @pytest.mark.parametrize("name, words, make", [("byte_bpe_50k.json", False, library_encoder), ("word_bpe_49k.json", True, library_encoder), (rank_bpe.VOCABULARY, False, rank_bpe.rank_encoder)])
-@pytest.mark.parametrize("limit", ["CACHE_CHUNKS", "CACHE_IDS"])
+@pytest.mark.parametrize("limit", ["CACHE_PIECES", "CACHE_BYTES", "CACHE_IDS"])
 def test_full_caches(monkeypatch, texts, name, words, make, limit):
     """Caches that fill up in every call give the same ids."""
     own = [x or "" for x in texts * 2]
@@ -304,6 +319,13 @@ def test_packing(spark, docs, texts):
     assert sorted(sums) == [14, 16]
 
 
+def test_packing_fills_windows_over_many_partitions(spark):
+    """Last runs of 211 small partitions meet in a second round."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = packing.pack_documents(d.repartition(211)).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas()
+    assert rows["n"].max() <= 2048 and rows["n"].sum() / len(rows) / 2048 > 0.98
+
+
 @pytest.mark.parametrize("common", [(1024, 256), (1, 2)])
 def test_suffix(spark, docs, texts, common):
     owner, got = {}, collected(suffix_dedup.remove_repeats(docs, with_text=True, common=common))
