@@ -1,5 +1,9 @@
 """Token-ID files: shards of documents in ascending id order, each compressed by its own Re-Pair grammar.
 
+Documents are encoded where they lie and meet by ranges of their ids; a range is cut into shards of about
+SHARD_IDS ids. Bounds of the ranges come from a sample of the ids, drawn by a hash with a chance that
+grows with the text's bytes, so a range holds about as many bytes as another; ids and files don't depend on it.
+
 A shard's binary form (little endian): magic, counts, the rules (pairs of symbols) with their expansion
 lengths, per document its id and the ends of its symbols and of its ids, and the symbols. Symbols below
 ``base`` are token ids, the others nonterminals. Expansion lengths let a reader find any span of a document
@@ -18,16 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.llm.arrowtext import offsets_of, spans_index, text_slices
-from nearfold.llm.common import as_docs, prefix_sums, saved, text_volume
+from nearfold.llm.common import as_docs, prefix_sums, saved, shuffle_parts, text_volume
 from nearfold.llm.tokens import crc_rows, encoder, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-#: UTF-8 bytes of text that a shard should hold.
-SHARD_BYTES = 6 << 20
-MAGIC = b"RPG1"
+#: Ids that a shard should hold, about.
+SHARD_IDS = 1 << 21
+#: UTF-8 bytes of text of a range of ids: least, and most that one task holds, about. A bound is 8 bytes of each task's closure.
+RANGE_BYTES = (6 << 20, 64 << 20)
+#: Sampled ids of a range; the driver gets these, 8 bytes each, for each RANGE_BYTES of text.
+SAMPLES = 8
+#: Number of the first range of ids; below are the partitions' documents without id.
+FIRST_RANGE = 1 << 30
+MAGIC, HEAD = b"RPG2", "<4sIIIQQQ"
 #: New rules of a round of replacement, and the least count of a pair worth a rule.
-RULES_A_ROUND, LEAST_COUNT = 2048, 16
+RULES_A_ROUND, LEAST_COUNT = 4096, 16
 TEXT_SLICE = 12 << 20
 
 
@@ -80,14 +90,14 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_
     return symbols, np.maximum.accumulate(done) if len(done) else done, table
 
 
-def write_shard(doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
-    """Binary form of a shard; ``ends`` are the documents' ends in ``ids``."""
+def write_shard(doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray, base: int, nulls: int = 0) -> bytes:
+    """Binary form of a shard; ``ends`` are the documents' ends in ``ids``, the first ``nulls`` documents have no id."""
     symbols, done, rules = repair(ids, ends, base)
     sizes = _expansions(rules, base)
-    wide = 2 if base + len(rules) <= 1 << 16 else 4
-    head = struct.pack("<4sIIIQQ", MAGIC, wide, base, len(rules), len(doc_ids), len(symbols))
-    kind = f"<u{wide}"
-    return b"".join((head, rules.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), done.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), symbols.astype(kind).tobytes()))
+    wide = max(2, (int(base + len(rules) - 1).bit_length() + 7) // 8)
+    head = struct.pack(HEAD, MAGIC, wide, base, len(rules), len(doc_ids), nulls, len(symbols))
+    body = symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide]
+    return b"".join((head, rules.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), done.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), body.tobytes()))
 
 
 def _expansions(rules: np.ndarray, base: int) -> np.ndarray:
@@ -107,10 +117,10 @@ class Shard:
     """Reader of one shard's bytes."""
 
     def __init__(self, data: bytes):
-        magic, wide, self.base, rules, docs, symbols = struct.unpack_from("<4sIIIQQ", data)
+        magic, wide, self.base, rules, docs, self.nulls, symbols = struct.unpack_from(HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = struct.calcsize("<4sIIIQQ")
+        at = struct.calcsize(HEAD)
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -121,7 +131,9 @@ class Shard:
         self.rules = take("<u4", 2 * rules).reshape(-1, 2)
         self.sizes = take("<u4", rules).astype(np.int64)
         self.doc_ids, self.symbol_ends, self.ends = take("<i8", docs), take("<i8", docs), take("<i8", docs)
-        self.symbols = take(f"<u{wide}", symbols)
+        body = np.zeros((symbols, 4), np.uint8)
+        body[:, :wide] = take("u1", symbols * wide).reshape(symbols, wide)
+        self.symbols = body.view("<u4").ravel()
         if len(data) != at:
             raise ValueError("shard has a wrong length")
         self._flat: np.ndarray | None = None
@@ -164,57 +176,80 @@ class Shard:
         return self.decode(s[first : last + 1])[skip : skip + length]
 
 
-def write_token_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def _range_edges(docs: DataFrame, size: int, bounds: tuple[int, int]) -> np.ndarray:
+    """First ids of all ranges but the first, for texts of ``size`` bytes in all."""
+    low, high = bounds
+    each = min(high, max(low, size // (4 * shuffle_parts(docs.sparkSession))))
+    ranges = size // each
+    if ranges < 2:
+        return np.zeros(0, np.int64)
+    chance = F.octet_length("text") * F.lit(SAMPLES * ranges / size)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < chance
+    ids = np.sort(docs.where(drawn & F.col("doc_id").isNotNull()).select("doc_id").toArrow().column("doc_id").to_numpy())
+    return np.unique(ids[SAMPLES::SAMPLES])
+
+
+def write_token_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, range_bytes: tuple[int, int] = RANGE_BYTES) -> DataFrame:
     """``shard, first_id, n_docs, n_tokens, data``: shards in ascending id order, null ids first.
 
-    Bounds of the shards are quantiles of the ids, so every shard holds about SHARD_BYTES of text; rows
-    that repeat an id lie in one shard. Null and empty texts are the end id alone. An empty table gives no shards.
+    Shard numbers ascend with the ids. Rows that repeat an id lie in one range, and next to each other. Null
+    and empty texts are the end id alone; null ids have ranges of their own, dealt by the partition that
+    holds them. An empty table gives no shards.
     """
     path = vocabulary(VOCABULARY, path)
     docs = as_docs(df, id_col, text_col)
-    n, size = text_volume(docs)
-    shards = max(1, size // SHARD_BYTES)
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards))) if shards > 1 and n else []
-    edges = np.array(bounds, np.float64)
+    edges = _range_edges(docs, text_volume(docs)[1], range_bytes)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encode = encoder(path, True)
+        unnamed = TaskContext.get().partitionId()
         for rows, text in text_slices(batches, TEXT_SLICE, keep=True):
             ids, off = encode(text)
             doc = rows.column("doc_id")
-            shard = np.searchsorted(edges, pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
-            # rows of a shard travel as one block: ids as 2 bytes, all documents end to end
+            own = pc.fill_null(doc, 0).to_numpy()
+            where = np.where(doc.is_null().to_numpy(zero_copy_only=False), unnamed, FIRST_RANGE + np.searchsorted(edges, own, side="right"))
+            # rows of a range travel as one block: ids as 2 bytes, all documents end to end
             kind = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32
-            order = np.argsort(shard, kind="stable")
+            order = np.argsort(where, kind="stable")
             sizes = np.diff(off)
-            used, at = np.unique(shard[order], return_index=True)
+            used, at = np.unique(where[order], return_index=True)
             out = []
             for s, part in zip(used.tolist(), np.split(order, at[1:]), strict=True):
-                own = pc.take(doc, pa.array(part)).fill_null(np.iinfo(np.int64).min).to_numpy()
-                out.append((s, own.astype("<i8").tobytes(), sizes[part].astype("<i8").tobytes(), kind().itemsize, ids[spans_index(off[:-1][part], sizes[part])].astype(kind).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["shard", "docs", "sizes", "width", "ids"])
+                out.append((s, own[part].astype("<i8").tobytes(), sizes[part].astype("<i8").tobytes(), kind().itemsize, ids[spans_index(off[:-1][part], sizes[part])].astype(kind).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["range", "docs", "sizes", "width", "ids"])
 
     def build(table: pa.Table) -> pa.Table:
+        number = table.column("range")[0].as_py()
         docs_, sizes, ids = [], [], []
-        for d, s, w, i in zip(*(table.column(c).to_pylist() for c in ("docs", "sizes", "width", "ids")), strict=True):
-            docs_.append(np.frombuffer(d, "<i8"))
-            sizes.append(np.frombuffer(s, "<i8"))
-            ids.append(np.frombuffer(i, f"<u{w}").astype(np.uint32))
+        for d, s, w, i in zip(*(table.column(c) for c in ("docs", "sizes", "width", "ids")), strict=True):
+            docs_.append(np.frombuffer(d.as_buffer(), "<i8"))
+            sizes.append(np.frombuffer(s.as_buffer(), "<i8"))
+            ids.append(np.frombuffer(i.as_buffer(), f"<u{w.as_py()}"))
         doc, size, flat = np.concatenate(docs_), np.concatenate(sizes), np.concatenate(ids)
         start = offsets_of(size)[:-1]
         order = np.argsort(doc, kind="stable")
-        if (doc[order][1:] == doc[order][:-1]).any():  # repeated ids: by size and content, so that retries agree
+        again = np.flatnonzero(doc[order][1:] == doc[order][:-1])
+        if len(again):  # repeated ids: by size and content, so that retries agree
             order = np.array(sorted(order.tolist(), key=lambda i: (doc[i], size[i], flat[start[i] : start[i] + size[i]].tobytes())))
         doc, size, start = doc[order], size[order], start[order]
-        ends = np.cumsum(size + 1)
-        out = np.full(int(ends[-1]), end_id, np.uint32)
-        out[spans_index(ends - size - 1, size)] = flat[spans_index(start, size)]
-        data = write_shard(doc, out, ends, base)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "first_id": pa.array(doc[:1]), "n_docs": pa.array([len(doc)], pa.int64()), "n_tokens": pa.array([len(out)], pa.int64()), "data": pa.array([data], pa.binary())})
+        cut = np.flatnonzero(np.diff(np.cumsum(size + 1) // shard_ids, prepend=0)) if len(size) else []
+        edge = sorted({0, len(doc), *(int(c) for c in cut)})
+        out = []
+        for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            ends = np.cumsum(size[a:b] + 1)
+            own = np.full(int(ends[-1]), end_id, np.uint32)
+            own[spans_index(ends - size[a:b] - 1, size[a:b])] = flat[spans_index(start[a:b], size[a:b])]
+            nulls = b - a if number < FIRST_RANGE else 0
+            out.append(((number << 12) + k, None if nulls else int(doc[a]), b - a, len(own), write_shard(doc[a:b], own, ends, base, nulls)))
+        cols = zip(*out, strict=True)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "first_id", "n_docs", "n_tokens", "data"), cols, kinds, strict=True)})
 
     base = _vocabulary_size(path)
-    blocks = docs.mapInArrow(tokens, "shard int, docs binary, sizes binary, width int, ids binary")
-    return blocks.groupBy("shard").applyInArrow(build, "shard int, first_id long, n_docs long, n_tokens long, data binary")
+    blocks = docs.mapInArrow(tokens, "range long, docs binary, sizes binary, width int, ids binary")
+    return blocks.groupBy("range").applyInArrow(build, "shard long, first_id long, n_docs long, n_tokens long, data binary")
 
 
 def _vocabulary_size(path: str) -> int:
@@ -225,17 +260,17 @@ def _vocabulary_size(path: str) -> int:
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the shards' bytes."""
-    starts = prefix_sums(shards.select("shard", "n_tokens"), [], "shard", {"before": "n_tokens"}, 1024)
+    starts = prefix_sums(shards.select("shard", "n_tokens"), [], "shard", {"before": "n_tokens"}, 1 << 22)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column("shard"), batch.column("data"), strict=True):
                 shard = Shard(data.as_buffer().to_pybytes())
                 ids, off = shard.decode(), np.concatenate(([0], shard.ends))
-                null = shard.doc_ids == np.iinfo(np.int64).min
-                yield pa.RecordBatch.from_arrays([pa.array([number.as_py()] * len(null), pa.int32()), pa.array(shard.doc_ids, mask=null), pa.array(off[:-1]), pa.array(np.diff(off)), pa.array(crc_rows(ids, off), pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+                null = np.arange(len(shard.ends)) < shard.nulls
+                yield pa.RecordBatch.from_arrays([pa.array([number.as_py()] * len(null), pa.int64()), pa.array(shard.doc_ids, mask=null), pa.array(off[:-1]), pa.array(np.diff(off)), pa.array(crc_rows(ids, off), pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("shard", "data").mapInArrow(read, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = shards.select("shard", "data").mapInArrow(read, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts.select("shard", "before"), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

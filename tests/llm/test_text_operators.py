@@ -271,6 +271,52 @@ def test_token_files(spark, docs, texts):
         start += len(own)
 
 
+def test_token_shards_follow_ranges_and_sizes(spark, docs, texts):
+    """Several ranges and several shards a range, null, smallest and repeated ids: files ascend and read back whole."""
+    low = np.iinfo(np.int64).min
+    more = spark.createDataFrame([(None, "no id"), (None, "none"), (low, "lowest"), (low, "again lowest"), (6, "repeated id")], "doc_id long, text string")
+    d = docs.select("doc_id", "text").unionByName(more)
+    shards = token_files.write_token_shards(d, shard_ids=3000, range_bytes=(4000, 4000)).persist()
+    rows = sorted(shards.collect(), key=lambda r: r["shard"])
+    assert len({r["shard"] >> 12 for r in rows if r["first_id"] is not None}) > 3 and len({r["shard"] & 4095 for r in rows}) > 1
+    firsts = [r["first_id"] for r in rows]
+    assert firsts[0] is None and [f for f in firsts if f is not None] == sorted(f for f in firsts if f is not None)
+    got = sorted(token_files.read_token_shards(shards).collect(), key=lambda r: r["start"])
+    shards.unpersist()
+    assert len(got) == len(texts) + 5 and [r["doc_id"] for r in got[:4]] == [None, None, low, low]
+    assert [r["doc_id"] for r in got[2:]] == sorted(r["doc_id"] for r in got[2:])
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert at == sum(r["n_tokens"] for r in rows)
+
+
+def test_repair_against_brute_force():
+    """Rules applied one by one in their order give the symbols, and expand to the ids; counts are ties and runs too."""
+    rng = np.random.default_rng(9)
+    for top, n in ((2, 300), (4, 900), (1, 120)):
+        ids, ends = rng.integers(0, top, n).astype(np.uint32), np.array([n // 3, n // 3, n])
+        symbols, done, rules = token_files.repair(ids, ends, 10, per_round=1, least=3)
+        parts = [ids[: n // 3].tolist(), [], ids[n // 3 :].tolist()]
+        for k, (a, b) in enumerate(rules.tolist()):
+            count = collections.Counter()
+            for p in parts:
+                count.update(zip(p, p[1:], strict=False))
+            assert count[(a, b)] == max(count.values()) >= 3
+            for j, p in enumerate(parts):
+                out = []
+                for x in p:  # from left to right; a replaced pair takes no part in the next
+                    if out and (out[-1], x) == (a, b):
+                        out[-1] = 10 + k
+                    else:
+                        out.append(x)
+                parts[j] = out
+        assert [symbols[a:b].tolist() for a, b in zip([0, *done[:-1]], done, strict=True)] == parts
+        shard = token_files.Shard(token_files.write_shard(np.arange(3), ids, ends, 10))
+        assert (shard.decode() == ids).all() and shard.nulls == 0
+
+
 def test_repair_random_access():
     rng = np.random.default_rng(1)
     ids, ends = rng.integers(0, 5, 4000).astype(np.uint32), np.array([0, 0, 900, 901, 4000])
