@@ -1,10 +1,11 @@
 """Exact dedup: a tree merge of sorted digest runs.
 
-Every partition of the input sorts one run of digest entries and cuts it by digest into slices. In each
-round, up to FAN_IN neighbouring runs of a slice are merged into one, so runs meet in ceil(log FAN_IN of
-partitions) rounds. An entry holds the full SHA-256, the text's length, the smallest and largest
-identifier and the count; only entries whose whole digests and lengths agree are joined, at every level.
-A text that a third of the rows share is one entry of a run, so no round has a hot key.
+Every partition of the input sorts one run of digest entries. In each round, up to FAN_IN neighbouring
+runs of a slice of the digests are merged into one, and the merged run is cut by further leading bits of
+the digest, so runs keep their size while they meet in ceil(log FAN_IN of partitions) rounds and no run of
+all digests ever lies in one task. An entry holds the full SHA-256, the text's length, the smallest and
+largest identifier, and the counts of rows and of identifiers; only entries whose whole digests and lengths agree are joined, at every
+level. A text that a third of the rows share is one entry of a run, so no round has a hot key.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.llm.arrowtext import raw_utf8, text_slices
-from nearfold.llm.common import as_docs, shuffle_parts
+from nearfold.llm.common import as_docs
 
 #: Runs that one merge reads (a power of two: rounds are binomial in its exponent).
 FAN_IN = 8
-#: Entries of a finished slice, about; the number of slices follows the table.
+#: Entries of a run, about; the number of slices follows the table and the round.
 SLICE_ENTRIES = 32_768
-ENTRY = np.dtype([("digest", "<u8", 4), ("size", "<i8"), ("low", "<i8"), ("high", "<i8"), ("count", "<i8")])
+ENTRY = np.dtype([("digest", "<u8", 4), ("size", "<i8"), ("low", "<i8"), ("high", "<i8"), ("named", "<i8"), ("count", "<i8")])
 _NO_LOW, _NO_HIGH = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
@@ -44,11 +45,20 @@ def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
     out = run[first].copy()
     out["low"] = np.minimum.reduceat(run["low"], first)
     out["high"] = np.maximum.reduceat(run["high"], first)
-    out["count"] = np.add.reduceat(run["count"], first)
+    for c in ("named", "count"):
+        out[c] = np.add.reduceat(run[c], first)
     return out
 
 
-def _leaf(slices: int):
+def _sliced(run: np.ndarray, bits: int, node: int) -> pa.Table:
+    """A sorted run cut by the digest's leading bits: slices are stretches of it."""
+    where = (run["digest"][:, 0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(run), np.int64)
+    used, at = np.unique(where, return_index=True)
+    parts = np.split(run, at[1:])
+    return pa.table({"slice": pa.array(used), "node": pa.array([node] * len(used), pa.int64()), "run": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+
+def _leaf(bits: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -62,34 +72,41 @@ def _leaf(slices: int):
             ids = rows.column("doc_id")
             run["low"] = pc.fill_null(ids, pa.scalar(_NO_LOW, pa.int64())).to_numpy()
             run["high"] = pc.fill_null(ids, pa.scalar(_NO_HIGH, pa.int64())).to_numpy()
+            run["named"] = ids.is_valid().to_numpy(zero_copy_only=False)
             runs.append(merge_runs([run]))
         if runs:
-            run = merge_runs(runs)
-            where = run["digest"][:, 3] % np.uint64(slices)  # a slice of a sorted run is sorted
-            order = np.argsort(where, kind="stable")
-            used, at = np.unique(where[order], return_index=True)
-            parts = np.split(run[order], at[1:])
-            node = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array([node] * len(used), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "node", "run"])
+            yield from _sliced(merge_runs(runs), bits, TaskContext.get().partitionId()).to_batches()
 
     return build
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    runs = [np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("run")]
-    return pa.table({"slice": table.column("slice").slice(0, 1), "node": table.column("node").slice(0, 1), "run": pa.array([merge_runs(runs).tobytes()], pa.binary())})
+def _merge(bits: int):
+    def merge(table: pa.Table) -> pa.Table:
+        runs = [np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("run")]
+        return _sliced(merge_runs(runs), bits, table.column("node")[0].as_py())
 
+    return merge
 
-def digest_runs(docs: DataFrame) -> DataFrame:
-    """``slice, node, run``: one finished run for each non-empty slice of the digests."""
-    spark = docs.sparkSession
-    slices = max(shuffle_parts(spark), docs.count() // SLICE_ENTRIES + 1)
-    nodes = docs._jdf.queryExecution().toRdd().getNumPartitions()
-    runs = docs.mapInArrow(_leaf(slices), "slice long, node long, run binary")
+
+def slice_bits(rows: int, nodes: int) -> list[int]:
+    """Leading bits that cut the leaves and each round's runs, for about SLICE_ENTRIES entries a run."""
+    need = lambda entries: max(0, int(entries // SLICE_ENTRIES).bit_length())
+    bits = [need(-(-rows // max(1, nodes)))]
     while nodes > 1:
-        runs = runs.withColumn("node", F.shiftright("node", FAN_IN.bit_length() - 1))
-        runs = runs.groupBy("slice", "node").applyInArrow(_merge, "slice long, node long, run binary")
         nodes = -(-nodes // FAN_IN)
+        bits.append(max(bits[-1], min(bits[-1] + FAN_IN.bit_length() - 1, need(-(-rows // nodes)))))
+    return bits
+
+
+def digest_runs(docs: DataFrame) -> DataFrame:
+    """``slice, node, run``: one finished run for each non-empty slice of the digests."""
+    seen = docs.select(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("last")).first()
+    bits = slice_bits(seen["n"], (seen["last"] or 0) + 1)
+    runs = docs.mapInArrow(_leaf(bits[0]), "slice long, node long, run binary")
+    for k, more in enumerate(bits[1:], 2):
+        # the last round takes whatever nodes are left
+        node = F.shiftright("node", FAN_IN.bit_length() - 1) if k < len(bits) else F.lit(0).cast("long")
+        runs = runs.withColumn("node", node).groupBy("slice", "node").applyInArrow(_merge(more), "slice long, node long, run binary")
     return runs
 
 
@@ -102,7 +119,7 @@ def copies(runs: DataFrame) -> DataFrame:
                 run = np.frombuffer(x.as_buffer(), ENTRY)
                 run = run[run["count"] > 1]
                 hexes = [d.tobytes().hex() for d in run["digest"].astype(">u8")]
-                ids = [pa.array(run[k], mask=run["high"] == _NO_HIGH) for k in ("low", "high")]
+                ids = [pa.array(run[k], mask=run["named"] == 0) for k in ("low", "high")]
                 yield pa.RecordBatch.from_arrays([pa.array(hexes, pa.string()), *ids, pa.array(run["count"])], ["text_sha256", "low_id", "high_id", "group_size"])
 
     return runs.mapInArrow(rows, "text_sha256 string, low_id long, high_id long, group_size long")

@@ -399,6 +399,27 @@ def test_exact(spark, docs, texts, keep):
             assert tuple(got[i])[1:] == (best, len(own), i == best, hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_exact_rounds_and_slices(spark):
+    """Four rounds over 600 partitions, null ids and the smallest id, against a count."""
+    assert exact_dedup.slice_bits(600 * 100_000, 600) == [2, 5, 8, 10, 11] and exact_dedup.slice_bits(0, 1) == [0]
+    low = np.iinfo(np.int64).min
+    d = spark.range(0, 3000, 1, 600).select(F.when(F.col("id") % 500 != 499, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 700).cast("string")).alias("text"))
+    d = d.unionByName(spark.createDataFrame([(low, "only"), (None, "only"), (None, "nameless"), (None, "nameless")], "doc_id long, text string"))
+    groups = collections.defaultdict(list)
+    for r in d.collect():
+        groups[r["text"]].append(r["doc_id"])
+    got = exact_dedup.exact_duplicates(d)
+    n = 0
+    for r in got.join(d, "doc_id").collect():
+        if r["text_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest():
+            own = groups[r["text"]]
+            best = max(x for x in own if x is not None)
+            assert (r["keep_id"], r["group_size"], r["kept"]) == (best, len(own), r["doc_id"] == best)
+            n += 1
+    assert n == 3000 - 6 + 1 and got.count() == d.count()
+    assert sorted(r["kept"] for r in got.where("doc_id is null and group_size = 2").collect()) == [False, True, True]
+
+
 def test_rank_bpe(spark, docs, texts):
     import public_tokenizers
     import tiktoken
