@@ -7,7 +7,7 @@ stated set: they are cut into blocks of a checked size, and every block meets al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,22 @@ def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array(ids), _checked(buffer)
 
 
+def values_of(queries: DataFrame) -> int:
+    """Numbers in all query vectors."""
+    return int(queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0])
+
+
+def by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` of query sets that may be broadcast: of all queries, or block by block where they are more than one block."""
+    if values_of(queries) <= BLOCK_VALUES:
+        return search(queries)
+    out = None
+    for qids, q in query_blocks(queries):
+        block = queries.sparkSession.createDataFrame(pa.table({"qid": pa.array(qids, pa.int64()), "q": pa.array(list(q), pa.list_(pa.float64()))}))
+        out = search(block) if out is None else out.unionByName(search(block))
+    return out
+
+
 def _checked(rows: list) -> np.ndarray:
     if any(r is None or len(r) != len(rows[0]) or None in r for r in rows):
         raise ValueError("query vectors must have one length and no nulls")
@@ -94,8 +110,7 @@ def pair_distances(base: DataFrame, queries: DataFrame, name: str = "ip") -> Dat
 
     Only for a small stated query set: more than BLOCK_VALUES numbers of queries raise.
     """
-    size = queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
-    if size > BLOCK_VALUES:
+    if values_of(queries) > BLOCK_VALUES:
         raise ValueError("too many queries for the expression engine; use engine='arrow'")
     pairs = base.join(F.broadcast(queries.select("qid", "q")), F.lit(True))
     return pairs.select("qid", *[c for c in base.columns if c != "vec"], metric(name).column(F.col("vec"), F.col("q")).cast("double").alias("dist"))

@@ -1,8 +1,8 @@
 """Layered proximity graphs (HNSW): built shard by shard inside Arrow groups, searched by beams.
 
 One row holds one node: ``shard_id, id, level, entry, deleted, vec, links`` (links by layer). A shard's
-graph must fit a worker, so the number of shards has to follow the table. Levels are a function of the
-id alone, so a graph doesn't depend on how rows are partitioned.
+graph must fit a worker, so the number of shards follows the table unless it is given. Levels are a function
+of the id alone, so a graph doesn't depend on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -15,11 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from nearfold.functions.distance import matrix
+from nearfold.operators.flat import BLOCK_VALUES, values_of
 from nearfold.operators.ivf import IvfIndex
-from nearfold.operators.topk import balanced_shards, top_k
+from nearfold.operators.stops import Documents, StopCondition, WithinDistance
+from nearfold.operators.topk import balanced_shards, document_prefix, top_k, within
 
+#: Rows of a shard at most, where the number of shards isn't given.
+SHARD_ROWS = 50_000
 NODES = "shard_id int, id long, level int, entry boolean, deleted boolean, vec array<double>, links array<array<long>>"
 
 
@@ -41,6 +46,7 @@ class Graph:
         self.links: list[list[list[int]]] = [[[] for _ in range(v + 1)] for v in self.levels]
         self.deleted = np.zeros(len(x), bool)
         self.entry = -1
+        self.hops = self.distances = 0
         for node in range(len(x)):
             self._insert(node)
 
@@ -55,9 +61,11 @@ class Graph:
         place = {int(i): n for n, i in enumerate(g.labels)}
         g.links = [[[place[i] for i in layer] for layer in layers] for layers in table.column("links").to_pylist()]
         g.entry = table.column("entry").to_pylist().index(True) if table.num_rows else -1
+        g.hops = g.distances = 0
         return g
 
     def _far(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
+        self.distances += len(nodes)
         return 1.0 - np.einsum("ij,j->i", self.x[nodes], q)  # equal vectors are at equal distance
 
     def _descend(self, q: np.ndarray, top: int, bottom: int, start: int) -> int:
@@ -67,6 +75,7 @@ class Graph:
             moved = True
             while moved:
                 moved = False
+                self.hops += 1
                 near = self.links[best][layer]
                 if near:
                     d = self._far(q, near)
@@ -87,6 +96,7 @@ class Graph:
             d, node = heapq.heappop(open_)
             if len(found) >= ef and d > -found[0][0]:
                 break
+            self.hops += 1
             fresh = [n for n in self.links[node][layer] if not seen[n]]
             if not fresh:
                 continue
@@ -100,6 +110,37 @@ class Graph:
                             heapq.heappop(found)
         return sorted((-a, -b) for a, b in found)
 
+    def _walk(self, q: np.ndarray, start: int, stop: StopCondition, admitted: np.ndarray | None) -> list[tuple[float, int]]:
+        """Nodes of layer 0 that a stop condition gathers, sorted."""
+        d = float(self._far(q, [start])[0])
+        seen = np.zeros(len(self.x), bool)
+        seen[start] = True
+        open_, found = [(d, start)], []
+        worst = lambda: -found[0][0] if found else math.inf
+        if admitted is None or admitted[start]:
+            found.append((-d, -start))
+            stop.entered(start, d)
+        while open_:
+            d, node = heapq.heappop(open_)
+            if stop.ends(d, worst()):
+                break
+            self.hops += 1
+            fresh = [n for n in self.links[node][0] if not seen[n]]
+            if not fresh:
+                continue
+            seen[fresh] = True
+            for dist, n in zip(self._far(q, fresh).tolist(), fresh, strict=True):
+                if not stop.takes(dist, worst()):
+                    continue
+                heapq.heappush(open_, (dist, n))
+                if admitted is None or admitted[n]:
+                    heapq.heappush(found, (-dist, -n))
+                    stop.entered(n, dist)
+                    while stop.overfull():
+                        gone = heapq.heappop(found)
+                        stop.left(-gone[1], -gone[0])
+        return stop.result(sorted((-a, -b) for a, b in found))
+
     def _diverse(self, candidates: list[tuple[float, int]], most: int) -> list[int]:
         """Candidates that are nearer to the node than to every one kept before."""
         if len(candidates) < most:
@@ -135,14 +176,15 @@ class Graph:
         if level > top:
             self.entry = node
 
-    def search(self, q: np.ndarray, k: int, ef: int, admitted: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """(distance, label) of the k nearest that are admitted and not deleted."""
+    def search(self, q: np.ndarray, k: int, ef: int, admitted: np.ndarray | None = None, stop: StopCondition | None = None) -> list[tuple[float, int]]:
+        """(distance, label) of the k nearest that are admitted and not deleted, or of what ``stop`` gathers."""
         if self.entry < 0:
             return []
         if self.deleted.any():
             admitted = ~self.deleted if admitted is None else admitted & ~self.deleted
         start = self._descend(q, self.levels[self.entry], 0, self.entry)
-        return [(d, int(self.labels[n])) for d, n in self._beam(q, start, max(ef, k), 0, admitted)[:k]]
+        found = self._beam(q, start, max(ef, k), 0, admitted)[:k] if stop is None else self._walk(q, start, stop, admitted)
+        return [(d, int(self.labels[n])) for d, n in found]
 
     def rows(self, shard: int) -> pa.Table:
         n = len(self.x)
@@ -163,8 +205,11 @@ class GraphIndex:
     ef_construction: int = 150
 
     @classmethod
-    def build(cls, base: DataFrame, m: int = 16, ef_construction: int = 150, shards: int = 1) -> GraphIndex:
-        """``base(id, vec)``; with a ``shard_id`` column its values are the shards."""
+    def build(cls, base: DataFrame, m: int = 16, ef_construction: int = 150, shards: int | None = None) -> GraphIndex:
+        """``base(id, vec)``; with a ``shard_id`` column its values are the shards, else there are as many as
+        SHARD_ROWS asks for, or ``shards``."""
+        if shards is None and "shard_id" not in base.columns:
+            shards = max(1, -(-base.count() // SHARD_ROWS))
         placed = base if "shard_id" in base.columns else balanced_shards(base.select("id", "vec"), shards)
         return cls(_graphs(placed, m, ef_construction), m, ef_construction)
 
@@ -176,26 +221,60 @@ class GraphIndex:
         """``qid, rank, id, dist``. ``allowed(id)`` limits results, not routes; ``probes(qid, q, shard_id)`` limits shards."""
         if k < 1:
             raise ValueError("k must be at least 1")
+        return top_k(self._found(queries, k, ef, allowed, probes).select("qid", "id", "dist"), k)
+
+    def work(self, queries: DataFrame, k: int = 10, ef: int = 100) -> DataFrame:
+        """``qid, hops, distances``: expanded nodes and computed distances of each query's search, over all shards."""
+        found = self._found(queries, k, ef, counters=True)
+        return found.where(F.col("id").isNull()).groupBy("qid").agg(F.sum("hops").alias("hops"), F.sum("distances").alias("distances"))
+
+    def search_within(self, queries: DataFrame, eps: float, most: int, least: int = 1, allowed: DataFrame | None = None) -> DataFrame:
+        """``qid, rank, id, dist`` at distance ``eps`` or less: see ``WithinDistance``. Larger ``least`` finds more."""
+        stop = WithinDistance(eps, least, most)
+        return within(self._found(queries, 1, 1, allowed, stop=stop).select("qid", "id", "dist"), eps, most)
+
+    def search_documents(self, queries: DataFrame, docs: DataFrame, documents: int, collect: int = 10) -> DataFrame:
+        """``qid, rank, id, dist, doc_id`` of the nearest rows that touch at most ``documents`` documents of
+        ``docs(id, doc_id)``: see ``Documents``. Rows without a document aren't found."""
+        found = self._found(queries, 1, 1, docs.select("id"), stop=Documents(documents, collect), payload=docs.select("id", F.col("doc_id").cast("long").alias("payload")))
+        return document_prefix(found.select("qid", "id", "dist", F.col("payload").alias("doc_id")), documents).select("qid", "rank", "id", "dist", "doc_id")
+
+    def _found(self, queries: DataFrame, k: int, ef: int, allowed: DataFrame | None = None, probes: DataFrame | None = None, stop: StopCondition | None = None, payload: DataFrame | None = None, counters: bool = False) -> DataFrame:
+        """``qid, id, dist, payload`` that each shard finds; with ``counters`` also a row of ``hops, distances`` for each shard and query."""
         nodes = self.nodes.withColumn("admitted", F.lit(True))
         if allowed is not None:
             nodes = self.nodes.join(allowed.select("id").distinct().withColumn("admitted", F.lit(True)), "id", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+        if payload is not None:
+            nodes = nodes.join(payload, "id", "left")
+        else:
+            nodes = nodes.withColumn("payload", F.lit(None).cast("long"))
         if probes is None:
-            probes = self.nodes.select("shard_id").distinct().join(F.broadcast(queries.select("qid", "q")), F.lit(True))
+            asked = queries.select("qid", "q")
+            probes = self.nodes.select("shard_id").distinct().join(F.broadcast(asked) if values_of(queries) <= BLOCK_VALUES else asked, F.lit(True))
+
+        paid = payload is not None
 
         def run(table: pa.Table, asked: pa.Table) -> pa.Table:
-            found: list[tuple[int, int, float]] = []
+            found: list[tuple] = []
             if table.num_rows and asked.num_rows:
-                order = np.argsort(table.column("id").to_numpy(), kind="stable")
-                admitted = table.column("admitted").to_numpy()[order]
-                graph = Graph.restore(table.drop_columns(["admitted"]))
+                table = table.take(pa.array(np.argsort(table.column("id").to_numpy(), kind="stable")))
+                admitted = table.column("admitted").to_numpy()
+                own = None if not paid else table.column("payload").fill_null(0).to_numpy()  # those without one aren't admitted
+                graph = Graph.restore(table.drop_columns(["admitted", "payload"]))
+                place = {int(i): n for n, i in enumerate(graph.labels)}
                 for qid, q in zip(asked.column("qid").to_pylist(), matrix(asked.column("q")), strict=True):
-                    found += [(qid, i, d) for d, i in graph.search(q, k, ef, None if admitted.all() else admitted)]
-            cols = list(zip(*found, strict=True)) if found else [(), (), ()]
-            return pa.table({"qid": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
-
-        nodes = nodes.select("shard_id", "id", "level", "entry", "deleted", "vec", "links", "admitted")
+                    graph.hops = graph.distances = 0
+                    hits = graph.search(q, k, ef, None if admitted.all() else admitted, None if stop is None else stop.fresh(own))
+                    found += [(qid, i, d, None if own is None else int(own[place[i]]), None, None) for d, i in hits]
+                    if counters:
+                        found.append((qid, None, None, None, graph.hops, graph.distances))
+            cols = list(zip(*found, strict=True)) if found else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            return pa.table({n: pa.array(c, t) for n, c, t in zip(("qid", "id", "dist", "payload", "hops", "distances"), cols, kinds, strict=True)})
+
+        nodes = nodes.select("shard_id", "id", "level", "entry", "deleted", "vec", "links", "admitted", "payload")
         probes = probes.select(F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q"), F.col("shard_id").cast("int").alias("shard_id"))
-        return top_k(nodes.groupBy("shard_id").cogroup(probes.groupBy("shard_id")).applyInArrow(run, "qid long, id long, dist double"), k)
+        return nodes.groupBy("shard_id").cogroup(probes.groupBy("shard_id")).applyInArrow(run, "qid long, id long, dist double, payload long, hops long, distances long")
 
     def edges(self) -> DataFrame:
         """``shard_id, src, layer, pos, dst``."""
@@ -224,7 +303,7 @@ class GraphIndex:
         return row["vec"]
 
     def serialized_size(self) -> int:
-        """Bytes of the usual binary form: 96 of header; per node its layer-0 block (links, 4-byte numbers,
+        """Bytes of the usual binary form (its sizes are fixed values): 96 of header; per node its layer-0 block (links, 4-byte numbers,
         8-byte label), 4 more, and a link block for each upper layer."""
         head = self.nodes.select(F.size("vec").alias("d")).first()
         if head is None:
@@ -243,8 +322,9 @@ class GraphIndex:
         nodes = self.nodes.join(flags, "id", "left").withColumn("deleted", F.when(F.col("hit"), F.lit(deleted)).otherwise(F.col("deleted")))
         return replace(self, nodes=nodes.select(self.nodes.columns))
 
-    def upsert(self, rows: DataFrame) -> GraphIndex:
-        """Insert or replace labels; replaced ones are live again. Only shards that change are built anew."""
+    def upsert(self, rows: DataFrame, replace_deleted: bool = False) -> GraphIndex:
+        """Insert or replace labels; replaced ones are live again. Only shards that change are built anew. With
+        ``replace_deleted`` each new label takes the place of a deleted one of its shard, which is forgotten."""
         rows = rows.select("id", "vec")
         shards = [r["shard_id"] for r in self.nodes.select("shard_id").distinct().collect()] or [0]
         home = self.nodes.select("id", F.col("shard_id").alias("home"))
@@ -253,6 +333,10 @@ class GraphIndex:
         touched = placed.select("shard_id").distinct()
         same = self.nodes.join(touched, "shard_id", "left_anti").select(self.nodes.columns)
         old = self.nodes.join(touched, "shard_id", "left_semi").join(rows.select("id"), "id", "left_anti")
+        if replace_deleted:
+            fresh = placed.join(home.select("id"), "id", "left_anti").groupBy("shard_id").agg(F.count(F.lit(1)).alias("fresh"))
+            turn = F.row_number().over(W.partitionBy("shard_id", "deleted").orderBy("id"))
+            old = old.withColumn("turn", turn).join(fresh, "shard_id", "left").where(~F.col("deleted") | (F.col("turn") > F.coalesce("fresh", F.lit(0)))).drop("turn", "fresh")
         built = _graphs(old.select("id", "vec", "shard_id").unionByName(placed), self.m, self.ef_construction)
         gone = old.where("deleted").select("id").withColumn("gone", F.lit(True))
         built = built.join(gone, "id", "left").withColumn("deleted", F.coalesce("gone", F.lit(False))).select(self.nodes.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from nearfold.functions.distance import inner_product, ip_distance
 from nearfold.operators import kmeans
+from nearfold.operators.flat import by_blocks
 from nearfold.operators.quantise import ProductQuantiser, rerank
 from nearfold.operators.topk import top_k
 
@@ -74,9 +75,13 @@ class IvfIndex:
 
     def search_masked(self, queries: DataFrame, k: int = 10, nprobe: int = 64) -> DataFrame:
         """Same rows by the wasteful plan: every query against every row of all lists, masked. A baseline only."""
-        probes = self.probes(queries, nprobe)
-        pairs = self.rows.join(F.broadcast(queries.select("qid", "q")), F.lit(True)).join(F.broadcast(probes.select("qid", "cid")), ["qid", "cid"], "left_semi")
-        return top_k(pairs.select("qid", "id", ip_distance(F.col("vec"), F.col("q")).alias("dist")), k)
+
+        def search(block: DataFrame) -> DataFrame:
+            probes = self.probes(block, nprobe)
+            pairs = self.rows.join(F.broadcast(block.select("qid", "q")), F.lit(True)).join(F.broadcast(probes.select("qid", "cid")), ["qid", "cid"], "left_semi")
+            return top_k(pairs.select("qid", "id", ip_distance(F.col("vec"), F.col("q")).alias("dist")), k)
+
+        return by_blocks(queries, search)
 
     def work_counters(self, queries: DataFrame, nprobe: int, batch: int) -> DataFrame:
         """One row for each mode: batches, refined groups, refined pairs, and skipped pairs of batched execution."""
@@ -130,4 +135,4 @@ class IvfPqIndex:
         found = self.pq.codes.join(probes, "cid")
         total = F.aggregate(F.zip_with("codes", "luts", lambda c, lut: F.get(lut, c)), F.lit(0.0), lambda s, x: s + x)
         near = top_k(found.select("qid", "id", (F.lit(1.0) - total).alias("dist")), max(p, k))
-        return rerank(near, self.ivf.rows, queries, k)
+        return rerank(near, self.ivf.rows, queries, k, max(p, k))

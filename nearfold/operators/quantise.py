@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from nearfold.functions.distance import inner_product, ip_distance, l2_int_distance
 from nearfold.operators import kmeans
-from nearfold.operators.flat import keep_nearest, query_blocks
+from nearfold.operators.flat import BLOCK_VALUES, by_blocks, keep_nearest, query_blocks, values_of
 from nearfold.operators.topk import merge_top_k, top_k
 
+#: Candidates (query, id) that are broadcast at most.
+PAIRS = 2_000_000
+
 
 def sq_parameters(base: DataFrame) -> DataFrame:
     """``d, minv, scale``: range of each dimension over all rows, in 255 steps; a range below 1e-8 counts as 1."""
@@ -47,21 +50,25 @@ class ScalarQuantiser:
         return queries.select("qid", "q", F.zip_with(q, scale, lambda x, s: x * s).alias("qs"), inner_product(F.col("q"), low).alias("qm"))
 
     def candidates(self, queries: DataFrame) -> DataFrame:
+        """Distances of one block of queries to all rows."""
         pairs = self.codes.join(F.broadcast(self.encode_queries(queries).select("qid", "qs", "qm")), F.lit(True))
         return pairs.select("qid", "id", (F.lit(1.0) - (inner_product(F.col("codes"), F.col("qs")) + F.col("qm"))).alias("dist"))
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        return top_k(self.candidates(queries), k)
+        return by_blocks(queries, lambda block: top_k(self.candidates(block), k))
 
     def search_twice(self, base: DataFrame, queries: DataFrame, k: int = 10, p: int = 100) -> DataFrame:
-        return rerank(self.search(queries, max(p, k)), base, queries, k)
+        return rerank(self.search(queries, max(p, k)), base, queries, k, max(p, k))
 
     def search_codes(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """Exact integer L2 between the codes of queries and of rows."""
-        low, scale = self.low, self.scale
-        coded = queries.select("qid", encode_sq(F.col("q"), low, scale).alias("qc"))
-        pairs = self.codes.join(F.broadcast(coded), F.lit(True))
-        return top_k(pairs.select("qid", "id", l2_int_distance(F.col("codes"), F.col("qc")).alias("dist")), k)
+
+        def search(block: DataFrame) -> DataFrame:
+            coded = block.select("qid", encode_sq(F.col("q"), self.low, self.scale).alias("qc"))
+            pairs = self.codes.join(F.broadcast(coded), F.lit(True))
+            return top_k(pairs.select("qid", "id", l2_int_distance(F.col("codes"), F.col("qc")).alias("dist")), k)
+
+        return by_blocks(queries, search)
 
 
 def _numbers(values: tuple[float, ...]):
@@ -74,9 +81,20 @@ def encode_sq(v, low: tuple[float, ...], scale: tuple[float, ...]):
     return F.transform(steps, lambda c: F.greatest(F.lit(0), F.least(F.lit(255), c)).cast("smallint"))
 
 
-def rerank(approximate: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact top-k of approximate candidates: their vectors are fetched by id."""
-    fetched = approximate.select("qid", "id").join(base.select("id", "vec"), "id").join(F.broadcast(queries.select("qid", "q")), "qid")
+def rerank(approximate: DataFrame, base: DataFrame, queries: DataFrame, k: int, most: int) -> DataFrame:
+    """Exact top-k of approximate candidates, at most ``most`` a query: their vectors are fetched by id.
+
+    Candidates are broadcast, so that the base is read and not shuffled, where their number is known to be
+    at most PAIRS; beyond that Spark chooses the join.
+    """
+    rows = queries.count()
+    wanted = approximate.select("qid", "id")
+    if rows * most <= PAIRS:
+        wanted = F.broadcast(wanted)
+    vectors = queries.select("qid", "q")
+    if values_of(queries) <= BLOCK_VALUES:
+        vectors = F.broadcast(vectors)
+    fetched = base.select("id", "vec").join(wanted, "id").join(vectors, "qid")
     return top_k(fetched.select("qid", "id", ip_distance(F.col("vec"), F.col("q")).alias("dist")), k)
 
 
@@ -147,12 +165,13 @@ class ProductQuantiser:
         return source.select("id", "codes", *within).mapInArrow(run, schema)
 
     def search_twice(self, base: DataFrame, queries: DataFrame, k: int = 10, p: int = 550) -> DataFrame:
-        return rerank(self.search(queries, max(p, k)), base, queries, k)
+        return rerank(self.search(queries, max(p, k)), base, queries, k, max(p, k))
 
     def search_parts(self, base: DataFrame, queries: DataFrame, parts: DataFrame, k: int = 10, local_p: int = 550) -> DataFrame:
         """Top ``local_p`` of each part of ``parts(id, shard_id)``, all of them re-ranked exactly."""
         placed = self.codes.join(parts.select("id", "shard_id"), "id")
-        return rerank(self.search(queries, max(local_p, k), placed, ("shard_id",)), base, queries, k)
+        shards = parts.select("shard_id").distinct().count()
+        return rerank(self.search(queries, max(local_p, k), placed, ("shard_id",)), base, queries, k, shards * max(local_p, k))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -34,11 +34,19 @@ def within(candidates: DataFrame, eps: float, most: int) -> DataFrame:
 
 
 def document_prefix(candidates: DataFrame, documents: int, doc: str = "doc_id") -> DataFrame:
-    """The longest distance-ordered prefix of each query that touches at most ``documents`` documents."""
-    first = (F.row_number().over(W.partitionBy("qid", doc).orderBy("dist", "id")) == 1).cast("int")
-    seen = F.sum("__first").over(W.partitionBy("qid").orderBy("dist", "id").rowsBetween(W.unboundedPreceding, 0))
-    out = candidates.withColumn("__first", first).withColumn("__seen", seen).where(F.col("__seen") <= documents)
-    return out.withColumn("rank", F.row_number().over(_nearest("qid"))).drop("__first", "__seen")
+    """The longest distance-ordered prefix of each query that touches at most ``documents`` documents.
+
+    It ends before the nearest row of the next document. So each document's nearest row is found first
+    (one row a partition, query and document is shuffled), and only the rows of the prefix are sorted.
+    """
+    if documents < 1:
+        raise ValueError("documents must be at least 1")
+    nearest = candidates.groupBy("qid", doc).agg(F.min(F.struct("dist", "id")).alias("__at"))
+    order = W.partitionBy("qid").orderBy("__at")
+    edge = nearest.withColumn("__n", F.row_number().over(order)).where(F.col("__n") == documents + 1).select("qid", F.col("__at").alias("__edge"))
+    # one row a query
+    inside = candidates.join(edge, "qid", "left").where(F.col("__edge").isNull() | (F.struct("dist", "id") < F.col("__edge"))).drop("__edge")
+    return inside.withColumn("rank", F.row_number().over(_nearest("qid")))
 
 
 def sorted_ids(ranked: DataFrame) -> DataFrame:

@@ -7,17 +7,18 @@ may be found. Distances are rounded after ranking.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.operators import evaluate, flat, kmeans, quantise, topk
+from nearfold.functions.scratch import scratch_path
+from nearfold.operators import evaluate, flat, quantise, topk
 from nearfold.operators.graph import GraphIndex, IvfGraphIndex
 from nearfold.operators.ivf import IvfIndex, IvfPqIndex
+from nearfold.operators.sharded import ShardedIndex
 from nearfold.plans import reports
+from nearfold.sources import reports as files
 
 QUERY_IDS, K, NLIST, NPROBE, BATCH = 20, 10, 16, 4, 8
 SPACES, WORDS, P, SHARDS = 8, 16, 100, 4
@@ -25,6 +26,8 @@ EPS, EPS_MOST, DOCS = 0.75, 25, 3
 ITERATIONS = 2
 #: The ``..._wide`` queries reach a recall of 0.9: lists probed of NLIST, words of a sub-space, and the hundredths of the rows that are ranked again.
 WIDE_PROBE, WIDE_WORDS, WIDE_PERCENT = 13, 256, 20
+#: Beam widths of the graph searches that stop early, and lists of an index of one shard.
+BEAMS, SHARD_LISTS, EVERYTHING = (10, 32, 64, 128), 4, 1 << 30
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,21 +104,50 @@ def _wide(b: DataFrame, q: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _round_trip(spark: SparkSession, b: DataFrame, q: DataFrame) -> DataFrame:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    own = None if where else tempfile.mkdtemp(prefix="nearfold-")
-    import uuid
+def _beams(b: DataFrame, q: DataFrame) -> DataFrame:
+    """Recall of graph searches at working beam widths."""
+    index = GraphIndex.build(b).materialise()
+    return evaluate.mean_recall({f"ef={ef}": index.search(q, K, ef) for ef in BEAMS}, flat.flat_search(b, q, K), K)
 
-    path = f"{where or 'file://' + own}/index-{uuid.uuid4().hex}"
-    flat.FlatIndex(b).save(path)
-    out = _ranked(flat.FlatIndex.load(spark, path).search(q, K))
-    if own:
-        import atexit
 
-        atexit.register(shutil.rmtree, own, True)
+def _work(b: DataFrame, q: DataFrame) -> DataFrame:
+    """Nodes expanded and distances computed of every query, by beam width."""
+    index, out = GraphIndex.build(b).materialise(), None
+    for ef in BEAMS:
+        row = index.work(q, K, ef).select(F.lit(ef).alias("ef"), "*")
+        out = row if out is None else out.unionByName(row)
     return out
 
 
+def _whole_shards(mode: str, build: dict, search: dict) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A sharded index whose settings reach every row, so that its answer is exact."""
+    return lambda b, q: _ranked(ShardedIndex.build(b, SHARDS, mode, **build).search(q, K, **search))
+
+
+def _csv_scan(spark: SparkSession, name: str, kind: str) -> DataFrame:
+    """A fixture appended to a CSV report in two parts and scanned again."""
+    path = scratch_path(spark, "report")
+    names = [c.split(" ")[0] for c in files.SCHEMAS[kind].split(", ")]
+    for part in (F.col("line") % 2 == 0, F.col("line") % 2 == 1):
+        files.append_report(_fixture(spark, name).where(part).select(*names), path)
+    return files.read_report(spark, path, kind)
+
+
+def _log_scan(spark: SparkSession) -> DataFrame:
+    """The selected fixture as a log, whose last labelled figures count."""
+    path = scratch_path(spark, "log")
+    figures = [F.concat(F.lit(label + " "), F.col(c).cast("string")) for c, label in files.LOG_FIELDS.items()]
+    lines = _fixture(spark, "sel").orderBy("line").coalesce(1).select(F.explode(F.array(F.concat(F.lit("mode "), "mode"), *figures)).alias("value"))
+    lines.write.text(path)
+    return files.read_log(spark, path).drop("file")
+
+
+def _round_trip(spark: SparkSession, b: DataFrame, q: DataFrame) -> DataFrame:
+    path = scratch_path(spark, "index")
+    flat.FlatIndex(b).save(path)
+    return _ranked(flat.FlatIndex.load(spark, path).search(q, K))
+
+
 def _upsert(b: DataFrame, q: DataFrame) -> DataFrame:
     """The vectors of ids below 60 move to others' places; ids above 400 go."""
     moved = b.where(F.col("id") < 60).select((F.col("id") + 100).alias("id"), "vec")
@@ -210,13 +242,25 @@ QUERIES: dict[str, Query] = {
     "hnsw_deleted": _on_both(_deleted),
     "hnsw_sharded": _on_both(lambda b, q: _ranked(GraphIndex.build(b, shards=SHARDS).search(q, K, ef=1 << 30))),
     "ivf_hnsw_topk": _on_both(lambda b, q: _ranked(IvfGraphIndex.build(b.select("id", "vec"), NLIST).search(q, K, NLIST, 1 << 30))),
+    "hnsw_range_eps": _on_both(lambda b, q: _ranked(topk.within(GraphIndex.build(b).search_within(q, EPS, EVERYTHING, EVERYTHING).drop("rank"), EPS, EPS_MOST))),
+    "hnsw_documents": _on_both(lambda b, q: topk.rounded(GraphIndex.build(b).search_documents(q, b.select("id", "doc_id"), DOCS, EVERYTHING).select("qid", "rank", "id", "doc_id", "dist"))),
+    "hnsw_beam_recall": _on_both(lambda b, q: _rounded(_beams(b, q), "avg_recall")),
+    "hnsw_beam_topk": _on_both(lambda b, q: _ranked(GraphIndex.build(b).search(q, K, 64))),
+    "hnsw_work": _on_both(_work),
+    "sharded_ivf_topk": _on_both(_whole_shards("ivf", {"nlist": SHARD_LISTS, "iterations": ITERATIONS}, {"nprobe": SHARD_LISTS})),
+    "sharded_ivf_pq_topk": _on_both(_whole_shards("ivf_pq", {"nlist": SHARD_LISTS, "words": WORDS, "iterations": ITERATIONS}, {"nprobe": SHARD_LISTS, "p": EVERYTHING})),
+    "sharded_ivf_hnsw_topk": _on_both(_whole_shards("ivf_hnsw", {"nlist": SHARD_LISTS}, {"nprobe": SHARD_LISTS, "ef": EVERYTHING})),
     "graph_integrity": _on_both(lambda b, q: GraphIndex.build(b).materialise().integrity()),
+    "graph_integrity_zeros": _on_both(lambda b, q: GraphIndex.build(b).materialise().integrity().select("nodes", "self_links", "repeated_links", "dangling_links")),
+    "report_csv_scan": lambda s, d: _csv_scan(s, "sel", "selected"),
+    "report_bench_scan": lambda s, d: _csv_scan(s, "x86", "bench"),
+    "report_log_scan": lambda s, d: _log_scan(s),
     "report_selected_summary": lambda s, d: _rounded(reports.selected_summary(_fixture(s, "sel")), "total_ms", "speedup_vs_seq"),
     "report_variant_summary": lambda s, d: _rounded(reports.variant_summary(_fixture(s, "var")), "avg_recall", "avg_latency_us"),
     "report_best_threads": lambda s, d: reports.best_threads(_fixture(s, "thr")),
     "report_ratios": lambda s, d: _rounded(reports.write_up_ratios(_fixture(s, "sel")), "ratio"),
     "report_trade_off": lambda s, d: reports.trade_off(_fixture(s, "trd"), "flat_pq"),
-    "report_figure_series": lambda s, d: reports.figure_series(_fixture(s, "thr"), "threads", "total_us", ("pthread", "hnsw_openmp")).select("mode", F.size("xs").alias("points"), F.array_max("ys").alias("highest")),
+    "report_figure_series": lambda s, d: reports.figure_series(_fixture(s, "thr"), "threads", "total_us", ("pthread", "hnsw_openmp")).select("mode", F.size("xs").alias("points"), F.array_max("ys").alias("highest"), *[F.array_join(F.transform(c, lambda v: v.cast("long")), ",").alias(c) for c in ("xs", "ys")]),
     "report_cross_platform": lambda s, d: reports.cross_platform(_fixture(s, "sel"), _fixture(s, "x86")),
     "report_cross_platform_threads": lambda s, d: reports.cross_platform(_fixture(s, "thr"), _fixture(s, "x86"), 8),
 }
@@ -373,14 +417,23 @@ ORACLE_SQL: dict[str, str] = {
     "hnsw_deleted": _flat_sql(where="id % 3 <> 0"),
     "hnsw_sharded": _FLAT,
     "ivf_hnsw_topk": _FLAT,
+    "hnsw_range_eps": f"WITH {_BASE} " + _top(f"SELECT qid, id, {_IP} AS dist FROM q, b WHERE {_IP} <= {EPS}", EPS_MOST),
+    "sharded_ivf_topk": _FLAT,
+    "sharded_ivf_pq_topk": _FLAT,
+    "sharded_ivf_hnsw_topk": _FLAT,
+    "graph_integrity_zeros": f"WITH {_BASE} SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS self_links, CAST(0 AS BIGINT) AS repeated_links, CAST(0 AS BIGINT) AS dangling_links FROM b",
+    "report_csv_scan": f"SELECT mode, threads, recall, latency_us, total_us FROM {_values('sel')}",
+    "report_bench_scan": f"SELECT mode, threads, avg_recall, avg_latency_us, total_time_us FROM {_values('x86')}",
+    "report_log_scan": f"SELECT recall, latency_us, total_us FROM {_values('sel')} ORDER BY line DESC LIMIT 1",
     "report_selected_summary": f"SELECT position, l.mode, threads, recall, latency_us, round(total_us / 1000, 6) AS total_ms, round((SELECT total_us FROM {_last('sel')} WHERE mode = 'seq') / total_us, 6) AS speedup_vs_seq FROM {_last('sel')} l JOIN {_pairs_sql(tuple(enumerate(reports.SUMMARY_MODES)), 'position, mode')} ON p.mode = l.mode",
     "report_variant_summary": f"SELECT *, CAST(row_number() OVER (ORDER BY avg_latency_us DESC, variant) AS INTEGER) AS place FROM (SELECT variant, min_by(label, line) AS label, round(avg(recall), 6) AS avg_recall, round(avg(latency_us), 6) AS avg_latency_us FROM {_values('var')} GROUP BY variant)",
     "report_best_threads": f"SELECT mode, threads, total_us, rows FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY total_us, line) AS w, count(*) OVER (PARTITION BY mode) AS rows FROM {_values('thr')}) WHERE w = 1",
     "report_ratios": f"SELECT slower, faster, round(a.total_us / b.total_us, 6) AS ratio FROM {_pairs_sql(reports.RATIOS, 'slower, faster')} JOIN {_last('sel')} a ON a.mode = slower JOIN {_last('sel')} b ON b.mode = faster",
     "report_trade_off": f"SELECT family, param_name, param_value, recall, latency_us, total_us FROM (SELECT *, row_number() OVER (PARTITION BY param_value ORDER BY line DESC) AS w FROM {_values('trd')} WHERE family = 'flat_pq') WHERE w = 1",
-    "report_figure_series": f"SELECT mode, CAST(count(*) AS INTEGER) AS points, max(total_us) AS highest FROM {_values('thr')} WHERE mode IN ('pthread', 'hnsw_openmp') GROUP BY mode",
+    "report_figure_series": f"SELECT mode, CAST(count(*) AS INTEGER) AS points, max(total_us) AS highest, string_agg(threads, ',' ORDER BY threads) AS xs, string_agg(CAST(total_us AS BIGINT), ',' ORDER BY threads) AS ys FROM {_values('thr')} WHERE mode IN ('pthread', 'hnsw_openmp') GROUP BY mode",
     "report_cross_platform": _platform_sql(_last("sel")),
     "report_cross_platform_threads": _platform_sql(f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY line) AS w FROM {_values('thr')} WHERE threads = 8) WHERE w = 1)"),
 }
+ORACLE_SQL["hnsw_documents"] = ORACLE_SQL["doc_prefix_search"]
 # a row's distance to itself rounds to -0 in DuckDB and to 0 in Spark
 ORACLE_SQL |= {f"{name}_hundredths": ORACLE_SQL[name].replace(_BASE, _ALL).replace("round(dist, 6)", "round(dist, 6) + 0.0") for name in SEARCHES}

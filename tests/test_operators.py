@@ -8,6 +8,8 @@ from nearfold.functions.distance import METRICS, checked, register_metric
 from nearfold.operators import evaluate, flat, kmeans, quantise, topk
 from nearfold.operators.graph import GraphIndex, IvfGraphIndex
 from nearfold.operators.ivf import IvfIndex, IvfPqIndex
+from nearfold.operators.sharded import ShardedIndex
+from nearfold.operators.stops import Documents, WithinDistance
 
 
 def vectors(spark, x, name="vec", key="id"):
@@ -159,6 +161,76 @@ def test_graph(spark, data, tmp_path):
     assert index.serialized_size() > 120 * 8 * 4
 
 
+def test_stop_conditions(spark, data):
+    """Steered walks give the exact answers when they may go on, fewer rows when they stop early, and only admitted ones."""
+    b, q, x, y = data
+    index = GraphIndex.build(b, 8, 60).materialise()
+    pairs = flat.pair_distances(b.withColumn("doc_id", F.col("id") % 7), q)
+    near = rows(topk.within(pairs, -1.0, 120))
+    assert rows(index.search_within(q, -1.0, 120, 120)) == near and near
+    early = index.search_within(q, -1.0, 12, 1).collect()
+    assert {(r["qid"], r["id"]) for r in early} <= {(a, i) for a, _, i in near} and max(r["rank"] for r in early) <= 12
+    evens = b.where("id % 2 = 0").select("id")
+    assert all(i % 2 == 0 for _, _, i in rows(index.search_within(q, -1.0, 12, 12, evens)))
+    docs = b.select("id", (F.col("id") % 7).alias("doc_id"))
+    assert rows(index.search_documents(q, docs, 2, 1000)) == rows(topk.document_prefix(pairs, 2))
+    counted = index.search_documents(q, docs, 2, 3).groupBy("qid").agg(F.countDistinct("doc_id").alias("n")).collect()
+    assert len(counted) == 6 and all(r["n"] == 2 for r in counted)
+    work = index.work(q, 10, 20).collect()
+    assert len(work) == 6 and all(0 < r["hops"] <= r["distances"] for r in work)
+    for bad in (WithinDistance, Documents):
+        with pytest.raises(ValueError):
+            bad(0, 0, 0) if bad is WithinDistance else bad(0)
+
+
+def test_replace_deleted(spark, data):
+    """New labels take the place of deleted ones, which are forgotten; the others stay deleted."""
+    b, q, x, y = data
+    gone = b.where("id < 10").select("id")
+    index = GraphIndex.build(b, 8, 60).mark_deleted(gone)
+    fresh = b.where("id >= 20 and id < 24").select((F.col("id") + 500).alias("id"), "vec")
+    new = index.upsert(fresh, replace_deleted=True)
+    assert tuple(new.counts().first()) == (120, 6) and tuple(index.upsert(fresh).counts().first()) == (124, 10)
+    live = b.where("id >= 10").unionByName(fresh)
+    assert rows(new.search(q, 10, 300)) == rows(flat.flat_search(live, q, 10))
+
+
+def test_damaged_graph_raises(spark, data, tmp_path):
+    b, _, _, _ = data
+    index = GraphIndex.build(b, 8, 60).materialise()
+    index.nodes.where("id != 5").write.parquet(str(tmp_path / "lost" / "nodes"))
+    index.nodes.withColumn("entry", F.lit(False)).write.parquet(str(tmp_path / "blind" / "nodes"))
+    for name in ("lost", "blind"):
+        with pytest.raises(ValueError, match="damaged"):
+            GraphIndex.load(spark, str(tmp_path / name), 8)
+
+
+@pytest.mark.parametrize("mode, build", [("ivf", {"nlist": 4}), ("ivf_pq", {"nlist": 4, "spaces": 4, "words": 8, "iterations": 2}), ("hnsw", {}), ("ivf_hnsw", {"nlist": 3})])
+def test_sharded_modes(spark, data, mode, build):
+    """An index for each shard: exact at full settings, and a part of the rows else."""
+    b, q, x, y = data
+    index = ShardedIndex.build(b, 3, mode, **build)
+    assert len(index.parts) == 3
+    probes = {"nprobe": build["nlist"]} if "nlist" in build else {}
+    full = probes | ({"p": 120} if mode == "ivf_pq" else {"ef": 200} if "hnsw" in mode else {})
+    assert rows(index.search(q, 10, **full)) == exact(x, y, 10)
+    less = probes and index.search(q, 10, **full | {"nprobe": 1}).count()
+    assert not probes or 0 < less <= 60
+    with pytest.raises(ValueError):
+        ShardedIndex.build(b, 2, "tree")
+
+
+def test_queries_in_blocks(spark, data, monkeypatch):
+    """Query sets beyond one block give the same rows."""
+    b, q, x, y = data
+    sq, ivf = quantise.ScalarQuantiser.build(b), IvfIndex.build(b, 4, 1)
+    want = rows(sq.search_twice(b, q, 5, 120)), rows(sq.search_codes(q, 5)), rows(ivf.search_masked(q, 5, 2))
+    monkeypatch.setattr(flat, "BLOCK_VALUES", 16)
+    monkeypatch.setattr(quantise, "BLOCK_VALUES", 16)
+    monkeypatch.setattr(quantise, "PAIRS", 10)
+    assert (rows(sq.search_twice(b, q, 5, 120)), rows(sq.search_codes(q, 5)), rows(ivf.search_masked(q, 5, 2))) == want
+
+
 def test_handles_and_metrics(spark, data, tmp_path):
     b, q, x, y = data
     index = flat.FlatIndex(b).remove(b.where("id >= 100").select("id"))

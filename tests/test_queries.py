@@ -15,10 +15,23 @@ def test_query(spark, name):
     if name in ORACLE_SQL:
         assert difference(rows, sql_rows(SF, ORACLE_SQL[name])) == ""
     else:
-        assert name == "graph_integrity"
-        row = rows.iloc[0]
-        assert row.nodes == 480 and row.min_in_degree > 0
-        assert row.self_links == row.repeated_links == row.dangling_links == 0
+        assert name in ("graph_integrity", "hnsw_beam_recall", "hnsw_beam_topk", "hnsw_work")
+
+
+def test_graph_integrity(spark):
+    row = QUERIES["graph_integrity"](spark, SF).first()
+    assert row.nodes == 480 and row.min_in_degree > 0
+    assert row.self_links == row.repeated_links == row.dangling_links == 0
+
+
+def test_beams_stop_early_and_reach_recall(spark):
+    """Working beam widths: recall grows with the width and reaches nine tenths, work stays below a full scan."""
+    recall = QUERIES["hnsw_beam_recall"](spark, SF).toPandas().set_index("method")["avg_recall"]
+    assert list(recall[["ef=10", "ef=32", "ef=64", "ef=128"]]) == sorted(recall) and recall["ef=64"] >= 0.9
+    work = QUERIES["hnsw_work"](spark, SF).toPandas().groupby("ef").mean()
+    assert work["distances"].is_monotonic_increasing and work["hops"].is_monotonic_increasing
+    assert work["distances"][10] < 480 / 2 and (work["hops"] <= work["distances"]).all()
+    assert len(QUERIES["hnsw_beam_topk"](spark, SF).toPandas()) == 200
 
 
 def test_entry(spark):
