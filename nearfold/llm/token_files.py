@@ -37,46 +37,50 @@ SAMPLES = 8
 FIRST_RANGE = 1 << 30
 MAGIC, HEAD = b"RPG2", "<4sIIIQQQ"
 #: New rules of a round of replacement, and the least count of a pair worth a rule.
-RULES_A_ROUND, LEAST_COUNT = 4096, 16
+RULES_A_ROUND, LEAST_COUNT = 8192, 16
 TEXT_SLICE = 12 << 20
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grammar of one shard: symbols, each document's end in them, and the rules (n x 2).
 
-    Each round counts all pairs that lie inside a document, takes the most frequent ones (ties by pair)
+    Each round counts the pairs that lie inside a document, takes the most frequent ones (ties by pair)
     and replaces their occurrences from left to right. Rounds go on until no pair is frequent.
     """
     symbols, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     top = base
+    new = 0  # only pairs with a symbol from here on can be frequent: a round leaves no occurrence of what it replaces
     while len(symbols) > 1:
-        pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         inner = ~last[:-1]
-        ordered = np.sort(pairs[inner])
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, int)
+        if new:
+            young = symbols >= new
+            inner &= young[:-1] | young[1:]
+        at = np.flatnonzero(inner).astype(np.uint64)
+        wide, deep = np.uint64(int(top - 1).bit_length()), np.uint64(len(symbols).bit_length())
+        if 2 * wide + deep > 64:
+            raise ValueError("a shard has too many ids")
+        pair = symbols[:-1][inner].astype(np.uint64) << wide | symbols[1:][inner]
+        ordered = np.sort(pair << deep | at)
+        pair, at = ordered >> deep, (ordered & ((np.uint64(1) << deep) - np.uint64(1))).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True]))) if len(pair) else np.zeros(1, int)
         count = np.diff(edge)
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
+        new = top
         if len(often) > per_round:
-            often = often[np.argsort(-count[often], kind="stable")[:per_round]]
-        chosen = np.sort(ordered[edge[often]])
-        # a cheap filter on both symbols' low bits before the exact lookup
-        slot = lambda p: ((p >> np.uint64(32)) * np.uint64(0x9E3779B1) ^ p * np.uint64(0x85EBCA6B)) >> np.uint64(7) & np.uint64(0x3FFFF)
-        seen = np.zeros(1 << 18, bool)
-        seen[slot(chosen)] = True
-        at = np.flatnonzero(seen[slot(pairs)] & inner)
-        found = np.searchsorted(chosen, pairs[at])
-        hit = chosen[np.minimum(found, len(chosen) - 1)] == pairs[at]
-        at, found = at[hit], found[hit]
+            often = np.sort(often[np.argsort(-count[often], kind="stable")[:per_round]])
+            new = 0
+        chosen, many = pair[edge[often]], count[often]
+        found = np.sort(at[spans_index(edge[often], many)] << 32 | np.repeat(np.arange(len(often)), many))
+        at, found = found >> 32, found & 0xFFFFFFFF
         # of overlapping occurrences every second one is replaced, from the left
-        fresh = np.concatenate(([True], at[1:] != at[:-1] + 1)) if len(at) else np.zeros(0, bool)
-        run = np.flatnonzero(fresh)
+        run = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
         taken = ((np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1) == 0
         at, found = at[taken], found[taken]
-        rules.append(np.stack((chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
+        rules.append(np.stack((chosen >> wide, chosen & ((np.uint64(1) << wide) - np.uint64(1))), axis=1).astype(np.uint32))
         symbols[at] = top + found
         last[at] |= last[at + 1]
         keep = np.ones(len(symbols), bool)
