@@ -1,7 +1,8 @@
 """Binary vector files: two unsigned 32-bit numbers (rows, columns), then the elements row by row, little endian.
 
-``read_vectors`` uses Spark's own binary reader for the listing and the bytes of each file, so any store
-Spark can read works; ``FbinSource`` reads byte ranges of one local or mounted file in parallel.
+``FbinSource`` reads byte ranges of one file in parallel, from local disks and the stores Arrow can open (s3,
+gs, abfs and hdfs paths among them). ``read_vectors`` takes the bytes from Spark's own binary reader, so any store Spark can
+read works, but a whole file (2 GB at most) is one row of one task.
 """
 
 from __future__ import annotations
@@ -37,6 +38,14 @@ def vector_bytes(x: np.ndarray, kind: str = "float32") -> bytes:
     return struct.pack(HEADER, *x.shape) + np.ascontiguousarray(x, KINDS[kind][0]).tobytes()
 
 
+def _opened(path: str):
+    """A file for random access, by its URI or local path."""
+    from pyarrow.fs import FileSystem
+
+    store, place = FileSystem.from_uri(path if ":" in path else os.path.abspath(path))
+    return store.open_input_file(place)
+
+
 class _Range(InputPartition):
     def __init__(self, start: int, stop: int, width: int):
         self.start, self.stop, self.width = start, stop, width
@@ -45,26 +54,25 @@ class _Range(InputPartition):
 class _FbinReader(DataSourceReader):
     def __init__(self, options: dict[str, str], column: str):
         options = {k.lower(): v for k, v in options.items()}
-        self.path, self.dtype, self.column = options["path"].removeprefix("file://"), KINDS[options.get("kind", "float32")][0], column
+        self.path, self.dtype, self.column = options["path"], KINDS[options.get("kind", "float32")][0], column
         self.limit, self.rows = int(options.get("limit", "0")), int(options.get("rowsperpartition", "100000"))
 
     def partitions(self) -> list[_Range]:
         item = np.dtype(self.dtype).itemsize
-        with open(self.path, "rb") as f:
-            n, d = parse_header(f.read(HEADER_BYTES), os.path.getsize(self.path), item)
+        with _opened(self.path) as f:
+            n, d = parse_header(f.read(HEADER_BYTES), f.size(), item)
         n = min(n, self.limit) if self.limit else n
         return [_Range(a, min(n, a + self.rows), d) for a in range(0, n, self.rows)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         item = np.dtype(self.dtype).itemsize
-        for a in range(partition.start, partition.stop, 8192):
-            b = min(partition.stop, a + 8192)
-            with open(self.path, "rb") as f:
-                f.seek(HEADER_BYTES + a * partition.width * item)
-                flat = np.frombuffer(f.read((b - a) * partition.width * item), self.dtype)
-            values = pa.array(flat.astype(np.int16) if self.dtype == "<u1" else flat)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * partition.width), values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), lists], ["id", self.column])
+        with _opened(self.path) as f:
+            for a in range(partition.start, partition.stop, 8192):
+                b = min(partition.stop, a + 8192)
+                flat = np.frombuffer(f.read_at((b - a) * partition.width * item, HEADER_BYTES + a * partition.width * item), self.dtype)
+                values = pa.array(flat.astype(np.int16) if self.dtype == "<u1" else flat)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * partition.width), values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), lists], ["id", self.column])
 
 
 class FbinSource(DataSource):
