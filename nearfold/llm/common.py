@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="nearfold-")
-        spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return where.rstrip("/")
-
-
-_OWN: dict[str, str] = {}
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here, and the
-    rows survive lost executors."""
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault(app, shared_dir(spark))
-    path = f"{base.rstrip('/')}/nearfold/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from nearfold.functions.scratch import discard, saved, shared_dir
 
 
 def as_docs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
@@ -44,6 +23,18 @@ def text_volume(docs: DataFrame) -> tuple[int, int]:
     return int(n), int(size)
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs inside send at most so many rows at once to a Python worker: for rows that are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -66,3 +57,4 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, st
     return joined.select(*df.columns, *[(F.col(f"__p_{n}") + F.col(f"__o_{n}")).alias(n) for n in values])
 
 
+__all__ = ["as_docs", "discard", "prefix_sums", "rows_a_batch", "saved", "shared_dir", "shuffle_parts", "text_volume"]

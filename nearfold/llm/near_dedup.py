@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.llm.arrowtext import text_slices
-from nearfold.llm.common import as_docs, saved, shuffle_parts
+from nearfold.llm.common import as_docs, rows_a_batch, saved, shuffle_parts
 from nearfold.llm.components import connected_components
 from nearfold.llm.words import mix, shingle_hashes, word_hashes
 
@@ -34,8 +34,11 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hashes of one comparison batch, and the chosen probability of missing a true pair at a batch's end.
 BATCH, MISS = 32, 1e-7
-#: Members of a bucket that one task compares; larger buckets are cut into pairs of such blocks.
+#: Members of a bucket that one task compares; larger buckets are cut into pairs of such blocks, but for pairs of
+#: blocks of the bucket's largest component.
 BLOCK = 1024
+#: Rows with whole shingle sets that go to a Python worker at once.
+WIDE_ROWS = 2000
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -232,11 +235,16 @@ def near_links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     labels = connected_components(links)
     # second round: buckets that hold several components
     labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "at", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where(F.col("low") < F.col("high"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    rows = labelled.join(mixed.select("band", "n"), "band").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("key", F.when(F.col("n") <= BLOCK, F.col("band")).otherwise(F.xxhash64("band", F.least("side", "other"), F.greatest("side", "other"))))
+    parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels")).where(F.col("labels") > 1)
+    # a large bucket is cut into blocks of its largest component, which never meet each other, and of the rest
+    many, rest = F.ceil(F.col("top.c") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int")
+    main, small = F.col("label") == F.col("top.label"), F.col("n") <= BLOCK
+    h = F.xxhash64("doc_id")
+    own = F.when(small, 0).when(main, F.pmod(h, many)).otherwise(many + F.pmod(h, rest)).cast("int")
+    others = F.when(small, F.sequence(F.lit(0), F.lit(0))).otherwise(F.sequence(F.when(main, many).otherwise(0), many + rest - 1))
+    rows = labelled.join(mixed, "band").withColumn("side", own).withColumn("other", F.explode(others))
+    rows = rows.withColumn("key", F.when(small, F.col("band")).otherwise(F.xxhash64("band", F.least("side", "other"), F.greatest("side", "other"))))
     rows = rows.join(sets.select("doc_id", "sig", "cut"), "doc_id").select("key", "at", "side", "other", "doc_id", "label", "sig", "cut")
     rows = rows.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "doc_id")
     cross = saved(_cross_pairs(rows, True), "cross-pairs")
@@ -260,7 +268,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = as_docs(df, id_col, text_col)
     sigs = saved(_signature_table(docs), "signatures")
-    labels = near_links(sigs, docs)
+    with rows_a_batch(docs.sparkSession, WIDE_ROWS):
+        labels = near_links(sigs, docs)
     classes = sigs.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = sigs.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left")
