@@ -4,8 +4,8 @@ Candidate search, exact for every string of LENGTH bytes: each window of LENGTH
 least anchor hash (ANCHOR bytes), so equal windows share an anchor; a maximal run of windows with one
 anchor is a context. Only contexts whose anchor occurs in several documents go on.
 
-Matching: contexts with the same anchor meet in one bucket, where equal contexts are one. Where an anchor
-has several different contexts, their Burrows-Wheeler transform is expanded: from the interval of the
+Matching: contexts with the same anchor meet in one bucket, where equal contexts are one: they are found by
+a hash and compared byte by byte. Where an anchor has several different contexts, their Burrows-Wheeler transform is expanded: from the interval of the
 empty string, intervals are extended backwards, breadth first, so common prefixes come out by increasing
 value; a boundary is set once, at its value, and expansion stops at LENGTH. What then has no boundary in
 between shares LENGTH bytes or more. The smallest document of such a class owns its window.
@@ -13,7 +13,8 @@ between shares LENGTH bytes or more. The smallest document of such a class owns
 Documents are dealt to parts by a hash of their id; three passes over the same dealt parts find anchors,
 send contexts, and apply the marks. Anchors and contexts travel as packed blocks. An anchor that is
 common (many parts, or many times in a part) is split further: its windows meet by their own hash, one
-row for each part at most.
+row for each part at most, and are compared byte by byte too. Different strings of one hash would be an
+error, not a match.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from nearfold.llm.words import mix
 LENGTH, ANCHOR = 50, 16
 #: Text bytes of a part and of an anchor bucket, about; positions hashed at once; symbols of one transform.
 PART_BYTES, BUCKET_BYTES, CHUNK, TRANSFORM = 6 << 20, 64 << 20, 1 << 17, 1 << 19
+#: Text bytes behind a task, at most about: more text than that in each of Spark's shuffle partitions takes more of them.
+TASK_BYTES = 64 << 20
 #: An anchor in more parts, or more often in one part, is split by its windows.
 COMMON_PARTS, COMMON_HERE = 1024, 256
 _LAST = np.iinfo(np.int64).max
@@ -133,6 +136,17 @@ def _groups(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, int)
 
 
+def _same_bytes(body: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> None:
+    """Raises unless the strings that start at a[i] and b[i] are equal on length[i] bytes."""
+    ends = offsets_of(length)
+    at = 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + (CHUNK << 2), side="right")) - 1)
+        if not np.array_equal(body[spans_index(a[at:stop], length[at:stop])], body[spans_index(b[at:stop], length[at:stop])]):
+            raise RuntimeError("two different strings have one hash")
+        at = stop
+
+
 def equal_windows(body: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Windows of ``length`` bytes of several strings, ordered by class: their first bytes in ``body``, and
     the starts of the classes. Threshold-bounded interval expansion on the Burrows-Wheeler transform."""
@@ -302,6 +316,8 @@ def _send_contexts(buckets: int):
         order = np.lexsort((doc, value, key))
         key, value, kind, doc, start, count = key[order], value[order], kind[order], doc[order], start[order], count[order]
         once = np.concatenate(([True], (key[1:] != key[:-1]) | (value[1:] != value[:-1]) | (kind[1:] != kind[:-1]))) if len(key) else np.zeros(0, bool)
+        again = np.flatnonzero(~once)
+        _same_bytes(body, start[again], start[again - 1], np.maximum(count[again], count[again - 1]) + LENGTH - 1)
         key, value, kind, doc, start, count = key[once], value[once], kind[once], doc[once], start[once], count[once]
         rows = []
         for b, x, y in _cut_by_bucket(key):
@@ -334,6 +350,8 @@ def _match_contexts(table: pa.Table) -> pa.Table:
     order = real[np.lexsort((doc[real], value[real], key[real]))]
     same = np.zeros(len(order), bool)
     same[1:] = (key[order][1:] == key[order][:-1]) & (value[order][1:] == value[order][:-1]) & (count[order][1:] == count[order][:-1])
+    again = np.flatnonzero(same)
+    _same_bytes(body, start[order[again]], start[order[again - 1]], length[order[again]])
     first = np.flatnonzero(~same)
     cls = np.cumsum(~same) - 1
     owner = doc[order][first] if len(first) else np.zeros(0, np.int64)
@@ -395,6 +413,11 @@ def _expand(groups: list[int], edge: np.ndarray, lead: np.ndarray, owner: np.nda
         masks[int(contexts[i])] = flags[window[i] : window[i + 1]]
 
 
+def _before(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many flags are set before each offset."""
+    return np.concatenate(([0], np.cumsum(flags, dtype=np.int32)))[off].astype(np.int64) if len(flags) < 1 << 31 else np.concatenate(([0], np.cumsum(flags)))[off]
+
+
 def _apply_marks(buckets: int, with_text: bool):
     """Marked windows to removed bytes, and what is left of each document."""
 
@@ -424,17 +447,18 @@ def _apply_marks(buckets: int, with_text: bool):
             part = np.flatnonzero(~local & (kind == SOME))
             hit[part] = where[3][mask_at[part]]
             add(start[hit], np.ones(int(hit.sum()), np.int64))
-        gone = np.cumsum(cover[:-1]) > 0
-        total = np.concatenate(([0], np.cumsum(gone)))
+        gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
+        del cover
+        removed = _before(gone, off)
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         edges = off[:-1][off[:-1] < off[1:]]
         begins[edges] = gone[edges]
-        spans = np.concatenate(([0], np.cumsum(begins)))
+        spans = _before(begins, off)
         left = memoryview(np.ascontiguousarray(body[~gone]))
-        cut = (off - total[off]).tolist()
+        cut = (off - removed).tolist()
         kept = [left[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        cols = {"n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(total[off])), "n_spans": pa.array(np.diff(spans[off])), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+        cols = {"n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(removed)), "n_spans": pa.array(np.diff(spans)), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
         if with_text:  # a character that loses a byte goes whole
             known = table.column("text").is_valid().to_pylist()
             cols["kept_text"] = pa.array([bytes(k).decode("utf-8", "ignore") if ok else None for k, ok in zip(kept, known, strict=True)], pa.string())
@@ -447,9 +471,9 @@ def _apply_marks(buckets: int, with_text: bool):
 
 
 def _lookup(marks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All marks of a part, sorted by key mixed with hash: that, kinds, starts in the bits, the bits."""
+    """All marks of a part, sorted by key and hash: those, kinds, starts in the bits, the bits."""
     if not marks.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, _CODE), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, bool)
     load = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in marks.column(c)]
     keys, hashes, kinds, packed = load("keys", "<u8"), load("hashes", "<u8"), load("kinds", np.uint8), load("masks", np.uint8)
     sizes = load("sizes", "<i4")
@@ -459,23 +483,42 @@ def _lookup(marks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         starts.append(at + ends[:-1])
         bits.append(np.unpackbits(mask, count=int(ends[-1])).astype(bool))
         at += int(ends[-1])
-    code = _join(np.concatenate(keys), np.concatenate(hashes))
-    order = np.argsort(code, kind="stable")
+    code = _code(np.concatenate(keys), np.concatenate(hashes))
+    order = np.argsort(code["mixed"], kind="stable")
     return code[order], np.concatenate(kinds)[order], np.concatenate(starts)[order], np.concatenate(bits)
 
 
+#: A context's key and hash, and both mixed, by which they are sorted.
+_CODE = np.dtype([("mixed", "<u8"), ("key", "<u8"), ("value", "<u8")])
+
+
+def _code(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(key), _CODE)
+    out["mixed"], out["key"], out["value"] = _join(key, value), key, value
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> None:
+    if ((a["key"] != b["key"]) | (a["value"] != b["value"])).any():
+        raise RuntimeError("two different strings have one hash")
+
+
 def _resolve(key: np.ndarray, value: np.ndarray, doc: np.ndarray, where: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For contexts: is there an equal one in a smaller document of this part; the mark's kind (255: none); its first bit."""
-    code = _join(key, value)
-    order = np.lexsort((doc, code))
-    edge = _groups(code[order])
+    code = _code(key, value)
+    order = np.lexsort((doc, code["mixed"]))
+    sorted_ = code[order]
+    edge = _groups(sorted_["mixed"])
     local = np.zeros(len(code), bool)
     if len(code):
-        local[order] = doc[order] > np.repeat(doc[order][edge[:-1]], np.diff(edge))
+        lead = np.repeat(edge[:-1], np.diff(edge))
+        _alike(sorted_, sorted_[lead])
+        local[order] = doc[order] > doc[order][lead]
     kind, bit = np.full(len(code), 255, np.uint8), np.zeros(len(code), np.int64)
     if len(where[0]) and len(code):
-        at = np.minimum(np.searchsorted(where[0], code), len(where[0]) - 1)
-        hit = where[0][at] == code
+        at = np.minimum(np.searchsorted(where[0]["mixed"], code["mixed"]), len(where[0]) - 1)
+        hit = where[0]["mixed"][at] == code["mixed"]
+        _alike(where[0][at[hit]], code[hit])
         kind[hit], bit[hit] = where[1][at[hit]], where[2][at[hit]]
     return local, kind, bit
 
@@ -494,12 +537,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     _, volume = text_volume(docs)
     parts = max(2 * shuffle_parts(spark), volume // PART_BYTES)
     buckets = max(shuffle_parts(spark), volume // BUCKET_BYTES)
-    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long"))
+    tasks = volume // TASK_BYTES
+    spread = lambda df, by: df.repartition(tasks, by) if tasks > shuffle_parts(spark) else df
+    dealt = spread(docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long")), "part")
     grouped = dealt.groupBy("part")
     anchors = grouped.applyInArrow(_find_anchors(buckets, common[1]), "part long, bucket long, keys binary, flags binary")
-    judged = anchors.groupBy("bucket").applyInArrow(_judge_anchors(common[0]), "part long, bucket long, codes binary")
+    judged = spread(anchors, "bucket").groupBy("bucket").applyInArrow(_judge_anchors(common[0]), "part long, bucket long, codes binary")
     sent = grouped.cogroup(judged.groupBy("part")).applyInArrow(_send_contexts(buckets), "bucket long, part long, keys binary, hashes binary, counts binary, docs binary, kinds binary, bytes binary")
-    marks = sent.groupBy("bucket").applyInArrow(_match_contexts, "part long, keys binary, hashes binary, kinds binary, sizes binary, masks binary")
+    marks = spread(sent, "bucket").groupBy("bucket").applyInArrow(_match_contexts, "part long, keys binary, hashes binary, kinds binary, sizes binary, masks binary")
     extra = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in more)
     schema = f"doc_id long{extra}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     return grouped.cogroup(marks.groupBy("part")).applyInArrow(_apply_marks(buckets, with_text), schema)
