@@ -99,6 +99,16 @@ class IvfIndex:
             out = row if out is None else out.unionByName(row)
         return out
 
+    def upsert(self, rows: DataFrame) -> IvfIndex:
+        """Insert or replace rows; the centroids stay."""
+        kind = self.rows.schema["vec"].dataType
+        rows = rows.select("id", F.col("vec").cast(kind).alias("vec"))
+        placed = kmeans.assign(rows, self.centroids[None], ("id", "vec")).select("id", "vec", F.col("codes")[0].alias("cid"))
+        return IvfIndex(self.centroids, self.remove(rows).rows.unionByName(placed))
+
+    def remove(self, ids: DataFrame) -> IvfIndex:
+        return IvfIndex(self.centroids, self.rows.join(ids.select("id"), "id", "left_anti").select("id", "vec", "cid"))
+
     def save(self, path: str) -> None:
         """Rows partitioned by list, so that probes prune files; centroids beside them."""
         self.centroid_table().write.mode("errorifexists").parquet(f"{path}/centroids")

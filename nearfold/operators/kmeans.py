@@ -1,7 +1,8 @@
 """Inner-product k-means: a fixed number of rounds, assignment by the largest inner product.
 
 Centroids (``spaces`` x k x size numbers, bounded by parameters) are on the driver; rows never are. Each
-round, every partition emits one partial sum for each centroid and dimension, and Spark adds them up.
+round, every partition emits one partial sum for each centroid and dimension, and Spark adds them up. Rounds
+run over rows that the executors hold: all rows of a table, or of a large one a bounded sample.
 """
 
 from __future__ import annotations
@@ -17,6 +18,20 @@ from nearfold.functions.distance import matrix
 from nearfold.operators.topk import balanced_shards
 
 
+#: Rows that centroids are fitted on at most: so many for each centroid, and never less than the second number.
+ROWS_A_CENTROID, LEAST_ROWS = 1024, 1_000_000
+
+
+def training_rows(base: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """``id, vec`` of all rows, or of about ``most`` rows, chosen by a hash of the id, where there are more."""
+    rows = base.select("id", "vec")
+    most = max(ROWS_A_CENTROID * k, LEAST_ROWS) if most is None else most
+    total = rows.count()
+    if total <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 40)) < int((1 << 40) * most / total))
+
+
 def stride_rows(total: int, k: int) -> list[int]:
     """Row numbers of the seeds: c * total // k, at most the last."""
     return [min(c * total // k, total - 1) for c in range(k)]
@@ -55,13 +70,21 @@ def assign_block(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmax(x @ centroids.T, axis=1)
 
 
-def train(base: DataFrame, k: int, iterations: int = 25, init: str = "stride", empty: str = "keep", spaces: int = 1) -> np.ndarray:
-    """Centroids of each sub-space (spaces x k x size) after ``iterations`` updates.
+def train(base: DataFrame, k: int, iterations: int = 25, init: str = "stride", empty: str = "keep", spaces: int = 1, most: int | None = None) -> np.ndarray:
+    """Centroids of each sub-space (spaces x k x size) after ``iterations`` updates, fitted on ``training_rows``.
 
     ``empty`` says what becomes of a centroid without rows: it keeps its place, or turns to zero.
     """
     if empty not in ("keep", "zero"):
         raise ValueError("empty is 'keep' or 'zero'")
+    rows = training_rows(base, k, most).persist()
+    try:
+        return _fitted(rows, k, iterations, init, empty, spaces)
+    finally:
+        rows.unpersist()
+
+
+def _fitted(base: DataFrame, k: int, iterations: int, init: str, empty: str, spaces: int) -> np.ndarray:
     first = seeds(base, k, init)
     if first.shape[1] % spaces:
         raise ValueError(f"{first.shape[1]} dimensions don't divide into {spaces} sub-spaces")

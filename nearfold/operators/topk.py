@@ -49,6 +49,25 @@ def document_prefix(candidates: DataFrame, documents: int, doc: str = "doc_id")
     return inside.withColumn("rank", F.row_number().over(_nearest("qid")))
 
 
+#: Place holders of missing neighbours in padded arrays (fixed values).
+NO_ID, NO_DIST = -1, float("inf")
+
+
+def padded(ranked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``qid, ids, dists``: arrays of exactly k neighbours of every query, nearest first, filled up with place holders."""
+    own = ranked.where(F.col("rank") <= k).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "dist"))).alias("near"))
+    full = queries.select("qid").join(own, "qid", "left")
+    missing = F.lit(k) - F.coalesce(F.size("near"), F.lit(0))
+    part = lambda c, fill: F.concat(F.coalesce(F.transform("near", lambda x: x[c]), F.array()), F.array_repeat(fill, missing))
+    return full.select("qid", part("id", F.lit(NO_ID).cast("long")).alias("ids"), part("dist", F.lit(NO_DIST)).alias("dists"))
+
+
+def unpadded(arrays: DataFrame) -> DataFrame:
+    """``qid, rank, id, dist`` of padded arrays: place holders and distances that aren't finite are left out."""
+    rows = arrays.select("qid", F.posexplode(F.arrays_zip("ids", "dists")).alias("at", "x")).select("qid", (F.col("at") + 1).alias("rank"), F.col("x.ids").alias("id"), F.col("x.dists").alias("dist"))
+    return rows.where((F.col("id") != NO_ID) & ~F.isnan("dist") & (F.abs("dist") < NO_DIST))
+
+
 def sorted_ids(ranked: DataFrame) -> DataFrame:
     """``qid, ids``: each query's neighbours as one array, nearest first."""
     pairs = F.array_sort(F.collect_list(F.struct("dist", "id")))

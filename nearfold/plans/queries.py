@@ -81,7 +81,7 @@ def _deleted(b: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def _recalls(b: DataFrame, q: DataFrame) -> DataFrame:
-    truth = flat.flat_search(b, q, K)
+    truth = flat.flat_search(b, q, K).persist()  # read once for each method
     named = {
         "sq": quantise.ScalarQuantiser.build(b).search(q, K),
         "ivf": _ivf(b).search(q, K, NPROBE),
@@ -208,6 +208,10 @@ QUERIES: dict[str, Query] = {
     "filtered_topk": _on_both(lambda b, q: _ranked(flat.flat_search(b, q, K, where=F.col("doc_id") % 2 == 0))),
     "range_eps_topk": _on_both(lambda b, q: _ranked(topk.within(flat.pair_distances(b, q), EPS, EPS_MOST))),
     "doc_prefix_search": _on_both(lambda b, q: topk.rounded(topk.document_prefix(flat.pair_distances(b, q), DOCS).select("qid", "rank", "id", "doc_id", "dist"))),
+    "doc_prefix_search_l2": _on_both(lambda b, q: topk.rounded(topk.document_prefix(flat.pair_distances(b, q, "l2"), DOCS).select("qid", "rank", "id", "doc_id", "dist"))),
+    "padded_range": _on_both(lambda b, q: topk.padded(topk.within(flat.pair_distances(b, q), EPS, EPS_MOST), q, EPS_MOST).select("qid", F.array_join("ids", ",").alias("ids"))),
+    "padded_round_trip": _on_both(lambda b, q: _ranked(topk.unpadded(topk.padded(topk.within(flat.pair_distances(b, q), EPS, EPS_MOST), q, EPS_MOST)))),
+    "ivf_upsert_remove": _on_both(lambda b, q: _ranked(_ivf(b).upsert(b.where(F.col("id") % 11 == 3).select((F.col("id") + 1).alias("id"), "vec")).remove(b.where(F.col("id") % 7 == 0).select("id")).search(q, K, NLIST))),
     "sharded_topk_merge": _on_both(lambda b, q: _ranked(flat.sharded_search(b, q, SHARDS, K))),
     "shard_assignment": _on_both(lambda b, q: topk.balanced_shards(b.select("id"), SHARDS)),
     "sorted_id_lists": _on_both(lambda b, q: topk.sorted_ids(flat.flat_search(b, q, K)).select("qid", F.array_join("ids", ",").alias("ids"))),
@@ -364,6 +368,15 @@ def _platform_sql(arm: str) -> str:
     return f"SELECT position, arm_mode, a.threads AS arm_threads, a.recall AS arm_recall, a.total_us / 1000 AS arm_total_ms, x86_mode, x.threads AS x86_threads, x.avg_recall AS x86_recall, x.total_time_us / 1000 AS x86_total_ms FROM {_pairs_sql(rows, 'position, arm_mode, x86_mode')} JOIN {arm} a ON a.mode = arm_mode JOIN {_last('x86')} x ON x.mode = x86_mode"
 
 
+def _prefix_sql(dist: str) -> str:
+    """The longest prefix of each query's neighbours that touches DOCS documents."""
+    return f"""WITH {_BASE}, d AS (SELECT qid, id, doc_id, {dist} AS dist FROM q, b),
+        f AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid, doc_id ORDER BY dist, id) = 1 AS INTEGER) AS first FROM d),
+        s AS (SELECT *, sum(first) OVER (PARTITION BY qid ORDER BY dist, id ROWS UNBOUNDED PRECEDING) AS seen FROM f)
+        SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id, doc_id, round(dist, 6) AS dist FROM s WHERE seen <= {DOCS}"""
+
+
+_RANGE = _top(f"SELECT qid, id, {_IP} AS dist FROM q, b WHERE {_IP} <= {EPS}", EPS_MOST)
 _FLAT = _flat_sql()
 ORACLE_SQL: dict[str, str] = {
     "flat_ip_topk": _FLAT,
@@ -371,11 +384,14 @@ ORACLE_SQL: dict[str, str] = {
     "flat_l2_topk": _flat_sql(_L2),
     "flat_l2_topk_arrow": _flat_sql(_L2),
     "filtered_topk": _flat_sql(where="doc_id % 2 = 0"),
-    "range_eps_topk": f"WITH {_BASE} " + _top(f"SELECT qid, id, {_IP} AS dist FROM q, b WHERE {_IP} <= {EPS}", EPS_MOST),
-    "doc_prefix_search": f"""WITH {_BASE}, d AS (SELECT qid, id, doc_id, {_IP} AS dist FROM q, b),
-        f AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid, doc_id ORDER BY dist, id) = 1 AS INTEGER) AS first FROM d),
-        s AS (SELECT *, sum(first) OVER (PARTITION BY qid ORDER BY dist, id ROWS UNBOUNDED PRECEDING) AS seen FROM f)
-        SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id, doc_id, round(dist, 6) AS dist FROM s WHERE seen <= {DOCS}""",
+    "range_eps_topk": f"WITH {_BASE} {_RANGE}",
+    "doc_prefix_search": _prefix_sql(_IP),
+    "doc_prefix_search_l2": _prefix_sql(_L2),
+    "padded_range": f"WITH {_BASE}, near AS ({_RANGE}) SELECT q.qid, array_to_string(list_resize(coalesce(list(id ORDER BY rank) FILTER (id IS NOT NULL), []), {EPS_MOST}, -1), ',') AS ids FROM q LEFT JOIN near ON near.qid = q.qid GROUP BY q.qid",
+    "padded_round_trip": f"WITH {_BASE} {_RANGE}",
+    "ivf_upsert_remove": f"""WITH {_BASE}, moved AS (SELECT id + 1 AS id, v FROM b WHERE id % 11 = 3),
+        u AS (SELECT id, v FROM b WHERE id NOT IN (SELECT id FROM moved) UNION ALL SELECT id, v FROM moved), n AS (SELECT * FROM u WHERE id NOT IN (SELECT id FROM b WHERE id % 7 = 0)) """
+    + _top(f"SELECT qid, id, {_IP} AS dist FROM q, n"),
     "sharded_topk_merge": _FLAT,
     "shard_assignment": f"WITH {_BASE} SELECT id, CAST({_SPLIT} AS INTEGER) AS shard_id FROM b",
     "sorted_id_lists": f"SELECT qid, string_agg(id, ',' ORDER BY rank) AS ids FROM ({_FLAT}) GROUP BY qid",
@@ -417,7 +433,7 @@ ORACLE_SQL: dict[str, str] = {
     "hnsw_deleted": _flat_sql(where="id % 3 <> 0"),
     "hnsw_sharded": _FLAT,
     "ivf_hnsw_topk": _FLAT,
-    "hnsw_range_eps": f"WITH {_BASE} " + _top(f"SELECT qid, id, {_IP} AS dist FROM q, b WHERE {_IP} <= {EPS}", EPS_MOST),
+    "hnsw_range_eps": f"WITH {_BASE} {_RANGE}",
     "sharded_ivf_topk": _FLAT,
     "sharded_ivf_pq_topk": _FLAT,
     "sharded_ivf_hnsw_topk": _FLAT,

@@ -120,6 +120,17 @@ def test_kmeans_policies(spark):
         kmeans.train(b, 5, 1)
 
 
+def test_kmeans_sample_is_bounded(spark):
+    """Beyond the bound a sample by id is fitted on; it doesn't depend on partitions, and all rows are assigned."""
+    rng = np.random.default_rng(3)
+    b = vectors(spark, rng.normal(size=(3000, 4)))
+    some = kmeans.training_rows(b, 4, 500)
+    assert 400 < some.count() < 600 and kmeans.training_rows(b, 4).count() == 3000
+    one, two = (kmeans.train(d, 4, 2, most=500) for d in (b, b.repartition(7)))
+    assert np.allclose(one, two) and np.allclose(one, kmeans.train(some, 4, 2))
+    assert IvfIndex(one[0], kmeans.assign(b, one, ("id", "vec")).select("id", "vec", F.col("codes")[0].alias("cid"))).list_stats().first()["total"] == 3000
+
+
 def test_ivf(spark, data):
     b, q, x, y = data
     index = IvfIndex.build(b, 8, 3)
