@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from nearfold.llm.common import as_docs
 DIMS, CENTROIDS, ITERATIONS = 4096, 4, 10
 #: Bound of the training sample: distinct texts of one language, the first by their hash.
 SAMPLE_PER_LANGUAGE = 500
+#: Texts that pass the bound on hashes, as a multiple of the sample: far above its chance and the count's error.
+OVERSAMPLE = 2
 #: A text is rejected if its best cosine is below this part of the least one of that centroid's members. A
 #: text with few n-grams is far from every centroid by nature, about as the root of their number, so cosines
 #: are compared after division by that root (relative to the members' median number).
@@ -124,38 +127,50 @@ def cluster(vectors: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, n
 def fit(docs: DataFrame, labelled: Column, label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> CentroidModel:
     """Train on at most ``per_language`` distinct texts of each label for which ``labelled`` holds; copies count once.
 
-    Only the bounded sample's vectors come to the driver. Rows without label or text are left out; without
-    any labelled row the model has no centroids.
+    Only the bounded sample's vectors come to the driver, as sparse counts. Rows without label or text are
+    left out; without any labelled row, or where no text has an n-gram, the model has no centroids.
     """
     rows = docs.where(labelled & F.col(label_col).isNotNull() & F.col("text").isNotNull())
-    keyed = rows.select("doc_id", F.col(label_col).alias("lang"), F.xxhash64("text").alias("h")).groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
-    order = W.partitionBy("lang").orderBy("h")
-    picked = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", "lang", "h")
-    # at most per_language rows a language: small whatever the corpus; rows that repeat an id are taken once
-    sample = rows.withColumn("lang", F.col(label_col)).withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "lang", "h"]).dropDuplicates(["lang", "h"]).select("doc_id", "text", "lang")
+    rows = rows.select("text", F.col(label_col).alias("lang"), F.xxhash64("text").alias("h"))
+    # hashes are uniform, so the first ones of a label lie below a bound that follows from its number of distinct texts
+    known = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("distinct"))
+    low = float(-(1 << 63))
+    near = (F.col("h").cast("double") - F.lit(low)) * F.col("distinct") < F.lit(OVERSAMPLE * per_language * 2.0**64)
+    # labels are few: the driver holds several centroids of each
+    some = rows.join(F.broadcast(known), "lang").where(near).dropDuplicates(["lang", "h"])
+    order = W.partitionBy("lang").orderBy("h")  # about OVERSAMPLE * per_language rows of a label, whatever the corpus
+    sample = some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, text in text_slices(batches):
             for a in range(0, len(text), _DOCS_AT_ONCE):
                 counts = ngram_counts(text.slice(a, _DOCS_AT_ONCE))
-                yield pa.RecordBatch.from_arrays([part.column("lang").slice(a, _DOCS_AT_ONCE), pa.array([c.tobytes() for c in counts], pa.binary())], ["lang", "counts"])
+                used = [np.flatnonzero(c) for c in counts]
+                cols = [[u.astype("<u2").tobytes() for u in used], [c[u].astype("<u4").tobytes() for c, u in zip(counts, used, strict=True)]]
+                yield pa.RecordBatch.from_arrays([part.column("lang").slice(a, _DOCS_AT_ONCE), *[pa.array(c, pa.binary()) for c in cols]], ["lang", "slots", "counts"])
 
-    table = sample.mapInArrow(vectors, "lang string, counts binary").toArrow()
-    pairs = sorted(zip(table.column("lang").to_pylist(), table.column("counts").to_pylist(), strict=True))
+    table = sample.mapInArrow(vectors, "lang string, slots binary, counts binary").toArrow()
+    pairs = sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "slots", "counts")), strict=True))
     if not pairs:
         return CentroidModel((), np.zeros((0, DIMS), np.float32), np.zeros(0), np.zeros(0), np.ones(DIMS, np.float32))
-    counts = np.stack([np.frombuffer(c, np.float32) for _, c in pairs])
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    unit, langs = weigh(counts, idf), np.array([lang for lang, _ in pairs])
+    seen = np.bincount(np.concatenate([np.frombuffer(slots, "<u2") for _, slots, _ in pairs]), minlength=DIMS)
+    idf = (np.log((1 + len(pairs)) / (1 + seen)) + 1).astype(np.float32)
     names, centres, floors, typical = [], [], [], []
-    for lang in np.unique(langs):
-        own = unit[(langs == lang) & (unit.any(axis=1))]
+    for lang, group in groupby(pairs, key=lambda p: p[0]):  # one label's dense vectors at a time
+        own = [(np.frombuffer(slots, "<u2"), np.frombuffer(counts, "<u4")) for _, slots, counts in group]
+        dense = np.zeros((len(own), DIMS), np.float32)
+        for row, (slots, counts) in zip(dense, own, strict=True):
+            row[slots] = counts
+        own = weigh(dense, idf)
+        own = own[own.any(axis=1)]
         if len(own):
             c, least, size = cluster(own, k, ITERATIONS)
             names += [str(lang)] * len(c)
             centres.append(c)
             floors.append(least * REJECT_PART)
             typical.append(size)
+    if not names:
+        return CentroidModel((), np.zeros((0, DIMS), np.float32), np.zeros(0), np.zeros(0), idf)
     return CentroidModel(tuple(names), np.concatenate(centres), np.concatenate(floors), np.concatenate(typical), idf)
 
 
