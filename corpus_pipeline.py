@@ -32,9 +32,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null counts as empty, so one empty text stays. A row goes only with its own text: rows of one id with
     other texts stay, rows that repeat an id and a text stay or go together, a null id goes where its text has an id.
     """
+    docs = docs.select(*COLUMNS)
     verdicts = exact_dedup.exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("__sha"))
-    return docs.join(verdicts, same, "left_anti").select(*COLUMNS)
+    return docs.join(verdicts, same, "left_anti")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +44,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words stay. Where ids repeat or are null, rows are told apart by a number that
     ascends with the ids (null ids last), so that every row is judged by its own text.
     """
+    docs = docs.select(*COLUMNS)
     count = docs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     key = "doc_id"
     if count["rows"] != count["ids"]:
