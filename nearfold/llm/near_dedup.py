@@ -205,11 +205,11 @@ def _cross_pairs(members: DataFrame, forest: bool) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def near_links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node, label``: components of the classes' verified links. ``sigs`` is the signature table, ``docs`` the texts."""
+def near_links(sigs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, label``: components of the classes' verified links. ``sigs`` is the signature table,
+    ``classes(digest, rep)`` has the document that stands for each set, ``docs`` the texts."""
     spark = docs.sparkSession
-    classes = sigs.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    reps = sigs.join(classes, ["digest", "doc_id"], "left_semi")
+    reps = sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
     banded = reps.select("doc_id", F.posexplode("bands").alias("at", "band"))
     buckets = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     members = saved(banded.join(buckets, "band"), "bucket-members")
@@ -268,10 +268,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = as_docs(df, id_col, text_col)
     sigs = saved(_signature_table(docs), "signatures")
+    classes = saved(sigs.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     with rows_a_batch(docs.sparkSession, WIDE_ROWS):
-        labels = near_links(sigs, docs)
-    classes = sigs.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
+        labels = near_links(sigs, classes, docs)
+    # a table of its own, so that Spark can split the rows of a hot digest below
+    classes = saved(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label")), "class-labels")
     out = sigs.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
