@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for dropping a job's shuffle files when it ends, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 
 
@@ -30,10 +32,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here, and the
-    rows survive lost executors. The table stays until ``discard``."""
+    rows survive lost executors. The table stays until ``discard``; shuffle files of the job go when it ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("error").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("error").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.nearfold_path = path
     return out
