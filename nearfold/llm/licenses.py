@@ -13,31 +13,66 @@ from pyspark.sql import DataFrame
 
 from nearfold.llm.arrowtext import text_slices
 from nearfold.llm.common import as_docs
-from nearfold.llm.words import shingle_hashes, word_hashes
+from nearfold.llm.words import cleaned_words, shingle_hashes
 
 #: Templates by name: short public licence notices (fixed values).
 TEMPLATES = {
+    "agpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
+    "boost-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "bsd-advertising": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
     "bsd-lead": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "gpl-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "gpl-warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+        "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
     "mit-line": "Released under the MIT License.",
     "mit-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
     ),
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    ),
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense-line": "This is free and unencumbered software released into the public domain.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
 }
 #: Words of a fingerprint, fingerprints of a winnowing window: any shared run of GRAM + WINDOW - 1 words has one.
 GRAM, WINDOW = 3, 2
@@ -77,7 +112,7 @@ class TemplateIndex:
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
-        words, off = word_hashes(pa.array([templates[n] for n in self.names], pa.string()), clean_word)
+        words, off, _ = cleaned_words(pa.array([templates[n] for n in self.names], pa.string()), clean_word)
         self.words = [words[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
         h, h_off = shingle_hashes(words, off, GRAM)
         at = winnow(h, h_off)
@@ -199,16 +234,17 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, template, template_words, matched_words, coverage, word_start, word_end`` of every match.
 
     Whole texts are scanned; words are compared without case and outer punctuation. ``coverage`` is the
-    matched part of the template's words; spans count the document's words. A template that occurs at
-    several places gives a row for each, also on consecutive lines; rows of one template share no word. Parts
-    that only together cover enough, around an insertion of at most GAP x the template's words, are one row. Null, empty and clean texts give no rows; repeated rows are
-    scanned one by one.
+    matched part of the template's words; spans count all of the document's words, also those of punctuation
+    alone, which take no part in a match. A template that occurs at several places gives a row for each, also
+    on consecutive lines; rows of one template share no word. Parts that only together cover enough, around an
+    insertion of at most GAP x the template's words, are one row. Null, empty and clean texts give no rows;
+    repeated rows are scanned one by one. An empty table gives no rows.
     """
     index = TemplateIndex(templates or TEMPLATES)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text in text_slices(batches):
-            words, off = word_hashes(text, clean_word)
+            words, off, number = cleaned_words(text, clean_word)
             h, h_off = shingle_hashes(words, off, GRAM)
             at = winnow(h, h_off)
             at = at[np.isin(h[at], index.hashes)]
@@ -227,7 +263,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for (d, t), ranges in bands.items():
                 want = index.words[t]
                 for n, s, e in places(words[off[d] : off[d + 1]], want, ranges, min_coverage * len(want)):
-                    found.append((d, index.names[t], len(want), n, n / len(want), s, e))
+                    found.append((d, index.names[t], len(want), n, n / len(want), int(number[off[d] + s]), int(number[off[d] + e - 1]) + 1))
             if found:
                 d, *cols = zip(*found, strict=True)
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())

@@ -22,25 +22,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(text: pa.StringArray, clean: Callable[[str], str] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts and n + 1 offsets.
+def word_hashes(text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts and n + 1 offsets. A-Z count as a-z; words lie between bytes 32
+    and 9 to 13."""
+    codes, names, off = _coded(text)
+    return _hashes(names)[codes] if len(codes) else np.zeros(0, np.uint64), off
 
-    A-Z count as a-z; words lie between bytes 32 and 9 to 13. ``clean`` rewrites each distinct word; words
-    that it empties are left out.
-    """
+
+def cleaned_words(text: pa.StringArray, clean: Callable[[str], str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, of words that ``clean`` rewrites. Words that it empties are left out; the third array
+    has each other word's number in its text, all words counted."""
+    codes, names, off = _coded(text)
+    names = [clean(w) for w in names]
+    number = np.arange(len(codes)) - np.repeat(off[:-1], np.diff(off))
+    kept = np.fromiter(map(bool, names), bool, len(names))[codes] if len(codes) else np.zeros(0, bool)
+    return _hashes(names)[codes[kept]], np.concatenate(([0], np.cumsum(kept)))[off], number[kept]
+
+
+def _coded(text: pa.StringArray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Numbers of all words in order, the distinct words by number, and n + 1 offsets."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
     off = lists.offsets.to_numpy().astype(np.int64)
     coded = pc.dictionary_encode(lists.values.slice(off[0], off[-1] - off[0]))
-    codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    if clean:
-        names = [clean(w) for w in names]
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in names), np.uint64, len(names))
-    full = np.fromiter(map(bool, names), bool, len(names))
-    off = off - off[0]
-    if full.all():
-        return table[codes] if len(codes) else np.zeros(0, np.uint64), off
-    kept = full[codes]
-    return table[codes[kept]], np.concatenate(([0], np.cumsum(kept)))[off]
+    codes, names, off = coded.indices.to_numpy(), coded.dictionary.to_pylist(), off - off[0]
+    if "" in names:  # the cutter leaves one at white space on a text's edge
+        kept = codes != names.index("")
+        codes, off = codes[kept], np.concatenate(([0], np.cumsum(kept)))[off]
+    return codes, names, off
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
