@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.llm.arrowtext import text_slices
-from nearfold.llm.common import as_docs, rows_a_batch, saved, shuffle_parts
+from nearfold.llm.common import as_docs, discard, rows_a_batch, saved, shuffle_parts
 from nearfold.llm.components import connected_components
 from nearfold.llm.words import mix, shingle_hashes, word_hashes
 
@@ -36,7 +36,7 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-7
 #: Members of a bucket that one task compares; larger buckets are cut into pairs of such blocks, but for pairs of
 #: blocks of the bucket's largest component.
-BLOCK = 1024
+BLOCK = 512
 #: Rows with whole shingle sets that go to a Python worker at once.
 WIDE_ROWS = 2000
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -211,8 +211,10 @@ def near_links(sigs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     spark = docs.sparkSession
     reps = sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
     banded = reps.select("doc_id", F.posexplode("bands").alias("at", "band"))
-    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    # tables of buckets are saved before they are joined, so that Spark can split the members of a hot one
+    buckets = saved(banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "buckets")
     members = saved(banded.join(buckets, "band"), "bucket-members")
+    discard(buckets)
     candidates = members.select("doc_id").distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +239,7 @@ def near_links(sigs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "at", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels")).where(F.col("labels") > 1)
+    mixed = saved(mixed, "mixed-buckets")
     # a large bucket is cut into blocks of its largest component, which never meet each other, and of the rest
     many, rest = F.ceil(F.col("top.c") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int")
     main, small = F.col("label") == F.col("top.label"), F.col("n") <= BLOCK
@@ -248,13 +251,14 @@ def near_links(sigs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     rows = rows.join(sets.select("doc_id", "sig", "cut"), "doc_id").select("key", "at", "side", "other", "doc_id", "label", "sig", "cut")
     rows = rows.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "doc_id")
     cross = saved(_cross_pairs(rows, True), "cross-pairs")
-    found = cross.count()
-    if found:
+    if cross.count():
         more = saved(_verify(cross.distinct(), sets), "cross-links")
         if more.count() < cross.distinct().count():  # a cut set misled the forest: take every pair
+            discard(more)
             more = saved(_verify(_cross_pairs(rows, False).distinct(), sets), "cross-links")
-        links = links.unionByName(more)
-        labels = connected_components(links)
+        labels = connected_components(links.unionByName(more))
+        discard(more)
+    discard(members, mixed, sets, links, cross)
     return labels
 
 
