@@ -145,12 +145,16 @@ class Graph:
         """Candidates that are nearer to the node than to every one kept before."""
         if len(candidates) < most:
             return [n for _, n in candidates]
+        x = self.x[[n for _, n in candidates]]
+        nearest = np.full(len(x), np.inf)  # distance to the nearest kept one
         kept: list[int] = []
-        for dist, n in candidates:
+        for i, (dist, n) in enumerate(candidates):
+            if nearest[i] < dist:
+                continue
+            kept.append(n)
             if len(kept) == most:
                 break
-            if not kept or float(self._far(self.x[n], kept).min()) >= dist:
-                kept.append(n)
+            np.minimum(nearest, 1.0 - np.einsum("ij,j->i", x, x[i]), out=nearest)
         return kept
 
     def _insert(self, node: int) -> None:
@@ -198,11 +202,12 @@ class Graph:
 
 @dataclass(frozen=True)
 class GraphIndex:
-    """Immutable handle over the node rows."""
+    """Immutable handle over the node rows. ``homes`` lists the shards, where that is known without building them."""
 
     nodes: DataFrame
     m: int = 16
     ef_construction: int = 150
+    homes: DataFrame | None = None
 
     @classmethod
     def build(cls, base: DataFrame, m: int = 16, ef_construction: int = 150, shards: int | None = None) -> GraphIndex:
@@ -211,7 +216,7 @@ class GraphIndex:
         if shards is None and "shard_id" not in base.columns:
             shards = max(1, -(-base.count() // SHARD_ROWS))
         placed = base if "shard_id" in base.columns else balanced_shards(base.select("id", "vec"), shards)
-        return cls(_graphs(placed, m, ef_construction), m, ef_construction)
+        return cls(_graphs(placed, m, ef_construction), m, ef_construction, placed.select(F.col("shard_id").cast("int").alias("shard_id")).distinct())
 
     def materialise(self) -> GraphIndex:
         """The same graph, computed once and held by the executors (rebuilt where one is lost)."""
@@ -250,7 +255,8 @@ class GraphIndex:
             nodes = nodes.withColumn("payload", F.lit(None).cast("long"))
         if probes is None:
             asked = queries.select("qid", "q")
-            probes = self.nodes.select("shard_id").distinct().join(F.broadcast(asked) if values_of(queries) <= BLOCK_VALUES else asked, F.lit(True))
+            homes = self.nodes.select("shard_id").distinct() if self.homes is None else self.homes
+            probes = homes.join(F.broadcast(asked) if values_of(queries) <= BLOCK_VALUES else asked, F.lit(True))
 
         paid = payload is not None
 
@@ -340,7 +346,7 @@ class GraphIndex:
         built = _graphs(old.select("id", "vec", "shard_id").unionByName(placed), self.m, self.ef_construction)
         gone = old.where("deleted").select("id").withColumn("gone", F.lit(True))
         built = built.join(gone, "id", "left").withColumn("deleted", F.coalesce("gone", F.lit(False))).select(self.nodes.columns)
-        return replace(self, nodes=same.unionByName(built))
+        return replace(self, nodes=same.unionByName(built), homes=None)
 
     def save(self, path: str) -> None:
         self.nodes.write.mode("errorifexists").parquet(f"{path}/nodes")

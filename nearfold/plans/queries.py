@@ -148,13 +148,6 @@ def _round_trip(spark: SparkSession, b: DataFrame, q: DataFrame) -> DataFrame:
     return _ranked(flat.FlatIndex.load(spark, path).search(q, K))
 
 
-def _upsert(b: DataFrame, q: DataFrame) -> DataFrame:
-    """The vectors of ids below 60 move to others' places; ids above 400 go."""
-    moved = b.where(F.col("id") < 60).select((F.col("id") + 100).alias("id"), "vec")
-    index = flat.FlatIndex(b).upsert(moved).remove(b.where(F.col("id") > 400).select("id"))
-    return _ranked(index.search(q, K, engine="arrow"))
-
-
 def _upsert_share(b: DataFrame, q: DataFrame) -> DataFrame:
     """An eleventh of the vectors moves to the next id's place and a seventh of the ids goes, whatever the table's size."""
     moved = b.where(F.col("id") % 11 == 3).select((F.col("id") + 1).alias("id"), "vec")
@@ -215,7 +208,6 @@ QUERIES: dict[str, Query] = {
     "sharded_topk_merge": _on_both(lambda b, q: _ranked(flat.sharded_search(b, q, SHARDS, K))),
     "shard_assignment": _on_both(lambda b, q: topk.balanced_shards(b.select("id"), SHARDS)),
     "sorted_id_lists": _on_both(lambda b, q: topk.sorted_ids(flat.flat_search(b, q, K)).select("qid", F.array_join("ids", ",").alias("ids"))),
-    "flat_upsert_remove": _on_both(_upsert),
     "flat_upsert_remove_share": _on_both(_upsert_share),
     "index_round_trip": lambda s, d, rows=_both: _round_trip(s, *rows(s, d)),
     "sq_params": _on_both(lambda b, q: _rounded(quantise.sq_parameters(b), "minv", "scale")),
@@ -395,9 +387,6 @@ ORACLE_SQL: dict[str, str] = {
     "sharded_topk_merge": _FLAT,
     "shard_assignment": f"WITH {_BASE} SELECT id, CAST({_SPLIT} AS INTEGER) AS shard_id FROM b",
     "sorted_id_lists": f"SELECT qid, string_agg(id, ',' ORDER BY rank) AS ids FROM ({_FLAT}) GROUP BY qid",
-    "flat_upsert_remove": f"""WITH {_BASE}, moved AS (SELECT id + 100 AS id, v FROM b WHERE id < 60),
-        u AS (SELECT id, v FROM b WHERE id NOT IN (SELECT id FROM moved) UNION ALL SELECT id, v FROM moved), n AS (SELECT * FROM u WHERE id <= 400) """
-    + _top(f"SELECT qid, id, {_IP} AS dist FROM q, n"),
     "flat_upsert_remove_share": f"""WITH {_BASE}, moved AS (SELECT id + 1 AS id, v FROM b WHERE id % 11 = 3),
         u AS (SELECT id, v FROM b WHERE id NOT IN (SELECT id FROM moved) UNION ALL SELECT id, v FROM moved), n AS (SELECT * FROM u WHERE id % 7 <> 0) """
     + _top(f"SELECT qid, id, {_IP} AS dist FROM q, n"),
