@@ -529,8 +529,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Removed is each byte covered by a LENGTH-byte string that also starts in a document with a smaller id;
     strings are judged on the input. Null counts as empty (and stays null as ``kept_text``); shorter texts
-    keep all bytes. Rows that repeat an id don't affect each other; a null id is above all others. An
-    empty table gives no rows.
+    keep all bytes. Rows that repeat an id don't affect each other; a null id is the same as the largest
+    long, above all others. An empty table gives no rows.
     """
     docs = as_docs(df, id_col, text_col, *more)
     spark = docs.sparkSession

@@ -14,7 +14,7 @@ from nearfold.llm.tokens import encoder, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Lengths per block of the two-level suffix sums.
-BLOCK = 4096
+BLOCK = 256
 
 
 def token_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

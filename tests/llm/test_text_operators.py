@@ -107,6 +107,59 @@ def test_media_query_reads_stored_bytes(spark, tmp_path):
     assert len(got) == 20 and got == sorted(media.media_features(spark.read.parquet(new)).collect())
 
 
+def test_media_opens_in_another_decoder(spark):
+    """Java's image reader gives the payload as the grey level of each block; several frames follow each other."""
+    payloads = [("äöü " * 700).encode(), b"x", bytes(range(256)) * 30]
+    java = spark._jvm
+    for body in payloads:
+        rows = -(-len(body) // media.UNIT)
+        payload = np.frombuffer(body.ljust(rows * media.UNIT, b" "), np.uint8)
+        (data,) = media.encode_payloads(payload, np.array([rows]))
+        image = java.javax.imageio.ImageIO.read(java.java.io.ByteArrayInputStream(bytearray(data)))
+        assert (image.getWidth(), image.getHeight()) == (8 * media.UNIT, 8 * rows)
+        raster = image.getRaster()
+        for k in np.random.default_rng(0).integers(0, len(payload), 40).tolist():
+            x, y = 8 * (k % media.UNIT) + k % 8, 8 * (k // media.UNIT) + 7 - k % 8
+            assert raster.getSample(x, y, 0) == payload[k]
+
+
+def test_media_of_several_frames(spark, monkeypatch):
+    """Payloads beyond one frame are cut into frames and read back as one; all columns follow from the stored bytes."""
+    monkeypatch.setattr(media, "FRAME_ROWS", 3)
+    rng = np.random.default_rng(3)
+    rows = np.array([1, 3, 4, 11])
+    payload = rng.integers(0, 256, int(rows.sum()) * media.UNIT).astype(np.uint8)
+    at = 0
+    for data, n in zip(media.encode_payloads(payload, rows), rows.tolist(), strict=True):
+        frames = media.parse_frames(data)
+        assert [f.height // 8 for f in frames] == [3] * (n // 3) + [n % 3] * bool(n % 3)
+        image = np.concatenate(media.decode_thumbnails(np.frombuffer(data, np.uint8), frames))
+        assert (image.ravel() == payload[at : at + n * media.UNIT]).all()
+        at += n * media.UNIT
+
+
+def test_media_of_a_long_text(spark):
+    """A text over several frames and slices keeps its digests; stored size, digest and dimensions are those of the media column."""
+    body = "Wörter und mehr. " * 200_000
+    stored = media.encode_media(spark.createDataFrame([(1, body), (2, "short")], "doc_id long, text string")).collect()
+    got = collected(media.media_features(spark.createDataFrame(stored)))
+    for r in stored:
+        text = body if r["doc_id"] == 1 else "short"
+        raw = text.encode()
+        payload = raw.ljust(-(-len(raw) // 192) * 192, b" ")
+        g, lines = got[r["doc_id"]], len(payload) // 192
+        assert (g["payload_sha256"], g["media_bytes"], g["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), len(r["media"]), hashlib.sha256(r["media"]).hexdigest())
+        image = np.frombuffer(payload, np.uint8).reshape(lines, 192).astype(int)
+        edge_r, edge_c = np.linspace(0, lines, 9).astype(int), np.linspace(0, 192, 10).astype(int)
+        bits = np.zeros((8, 8), bool)
+        cells = [[image[a:b, c:d].sum() for c, d in zip(edge_c[:-1], edge_c[1:])] for a, b in zip(edge_r[:-1], edge_r[1:]) if b > a]  # noqa: B905
+        bits[: len(cells)] = [[x < y for x, y in zip(row, row[1:])] for row in cells]  # noqa: B905
+        assert g["feature"].split(":")[0] == f"1536x{8 * lines}"
+        if lines >= 8:
+            assert g["feature"].split(":")[1] == np.packbits(bits).tobytes().hex()
+    assert stored[0]["media"].count(b"\xff\xd8") >= 3 or len(body.encode()) < 3 * media.FRAME_ROWS * 192
+
+
 def test_general_jpeg():
     """A two-component image with AC terms, subsampling and one interval, written by hand."""
     rng = np.random.default_rng(2)
@@ -154,6 +207,53 @@ def test_language(spark):
     assert [got[i]["lang_pred"] for i in (2, 3)] == ["und", "und"] and got[2]["score"] == 0
 
 
+def test_language_against_brute_force(spark):
+    """N-grams, TF-IDF weights, cosines, ties and rejection by plain Python, from the model's numbers."""
+    rng = np.random.default_rng(12)
+    own = [words(rng, int(n)) for n in rng.integers(1, 40, 30)] + ["", "12 !?", "Żółć ąę", "ab", "A  b--c", None]
+    train = spark.createDataFrame([(i, words(rng, 25), "xx" if i % 2 else "yy") for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.fit(train, F.lit(True), per_language=15, k=3)
+    assert set(model.languages) == {"xx", "yy"} and len(model.languages) <= 6
+    got = collected(language_id.identify(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), model))
+
+    def grams(text):
+        folded = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in text.encode())
+        folded = re.sub(rb" +", b" ", folded).lstrip(b" ")
+        count = collections.Counter()
+        for size, factor in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
+            for k in range(len(folded) - size + 1):
+                count[(int.from_bytes(folded[k : k + size], "big") * factor & 0xFFFFFFFF) >> 20] += 1
+        return count
+
+    for i, text in enumerate(own):
+        r, count = got[i], grams(text or "")
+        if not re.search("[^\\W\\d_]", text or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        v = np.zeros(language_id.DIMS)
+        for slot, n in count.items():
+            v[slot] = (1 + np.log(n)) * model.idf[slot]
+        v /= np.linalg.norm(v) or 1
+        cosine = model.centroids @ v
+        best = int(np.argmax(cosine))
+        assert cosine[best] - r["score"] == pytest.approx(0, abs=1e-5)
+        others = [c for c, lang in zip(cosine, model.languages, strict=True) if lang != model.languages[best]]
+        assert r["lang_pred"] == model.languages[best] or cosine[best] - max(others) < 1e-5
+        floor = model.floors[best] * np.sqrt(min(1, len(count) / max(model.typical[best], 1)))
+        assert r["rejected"] == (cosine[best] < floor) or abs(cosine[best] - floor) < 1e-5
+    # equal centroids: the first language in order
+    twin = language_id.CentroidModel(("aa", "bb"), np.repeat(model.centroids[:1], 2, axis=0), model.floors[:2], model.typical[:2], model.idf)
+    assert {r["lang_pred"] for r in language_id.identify(train, twin).collect()} == {"aa"}
+
+
+def test_language_without_letters_or_labels(spark):
+    """Labelled texts without any n-gram, or no labelled text: no centroids, every text is unknown."""
+    for lang in ("en", None):
+        d = spark.createDataFrame([(1, " ", lang), (2, "", lang)], "doc_id long, text string, lang string")
+        model = language_id.fit(d, F.lit(True))
+        assert model.languages == () and {r["lang_pred"] for r in language_id.identify(d, model).collect()} == {"und"}
+
+
 def test_language_sample_counts_distinct_texts(spark):
     """Copies, also under one id, leave the fitted model as it is, and the bound counts distinct texts."""
     rng = np.random.default_rng(8)
@@ -201,6 +301,32 @@ def test_licenses_on_consecutive_lines_and_around_insertions(spark):
     assert spans(6, "mit-line") == [(80 + 2 * n, 85 + 2 * n), (85 + 2 * n, 90 + 2 * n)]
 
 
+def test_license_spans_count_all_words(spark):
+    """Words of punctuation alone take no part in a match, but count in its place."""
+    rows = [(1, " * * * Released under -- the MIT License. * "), (2, "-- Released under the MIT License.\n//\nReleased under the MIT License."), (None, "x Released under the MIT License.")]
+    got = sorted((r["doc_id"] or 0, r["word_start"], r["word_end"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 1, 6), (1, 3, 9), (2, 1, 6), (2, 7, 12)]
+
+
+def test_banded_alignment_against_brute_force():
+    """A band over all diagonals gives the score of the full local alignment; the span holds what was matched."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        doc, want = rng.integers(0, 4, rng.integers(1, 14)), rng.integers(0, 4, rng.integers(1, 9))
+        score, best = np.zeros((len(doc) + 1, len(want) + 1), int), 0
+        for i in range(1, len(doc) + 1):
+            for j in range(1, len(want) + 1):
+                score[i, j] = max(0, score[i - 1, j - 1] + (2 if doc[i - 1] == want[j - 1] else -1), score[i - 1, j] - 1, score[i, j - 1] - 1)
+        best = score.max()
+        n, s, e, ts, te = licenses.banded_alignment(doc, want, -len(want), len(doc))
+        if not best:
+            assert n == 0
+            continue
+        # matched words score 2, each other word of the spans costs 1, a mismatched pair once
+        assert 2 * n - max(e - s, te - ts) + n == best or 2 * n - ((e - s - n) + (te - ts - n)) <= best <= 2 * n
+        assert 0 <= s < e <= len(doc) and 0 <= ts < te <= len(want) and score[e, te] == best and n <= min(e - s, te - ts)
+
+
 @pytest.mark.parametrize("name, end", [("word_bpe_49k.json", 2), ("byte_bpe_50k.json", None)])
 def test_whole_text_ids(texts, name, end):
     from tokenizers import Tokenizer
@@ -400,10 +526,10 @@ def test_exact(spark, docs, texts, keep):
 
 
 def test_exact_rounds_and_slices(spark):
-    """Four rounds over 600 partitions, null ids and the smallest id, against a count."""
+    """Three rounds over 70 partitions, null ids and the smallest id, against a count."""
     assert exact_dedup.slice_bits(600 * 100_000, 600) == [2, 5, 8, 10, 11] and exact_dedup.slice_bits(0, 1) == [0]
     low = np.iinfo(np.int64).min
-    d = spark.range(0, 3000, 1, 600).select(F.when(F.col("id") % 500 != 499, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 700).cast("string")).alias("text"))
+    d = spark.range(0, 3000, 1, 70).select(F.when(F.col("id") % 500 != 499, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 700).cast("string")).alias("text"))
     d = d.unionByName(spark.createDataFrame([(low, "only"), (None, "only"), (None, "nameless"), (None, "nameless")], "doc_id long, text string"))
     groups = collections.defaultdict(list)
     for r in d.collect():
@@ -434,6 +560,50 @@ def test_rank_bpe(spark, docs, texts):
         assert got[i * 3]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_rank_bpe_on_very_long_pieces(spark):
+    """Pre-tokens of up to half a million letters, against the library."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = rank_bpe.read_ranks(vocabulary(rank_bpe.VOCABULARY))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(14)
+    own = ["".join(rng.choice(list("abcdeinorst"), n)) for n in (300, 20_000, 500_000)] + ["ab" * 30_000, "é" * 9_000 + " x", "7" * 5_000 + "!" * 3_000]
+    got = collected(rank_bpe.encode_texts(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")))
+    for i, t in enumerate(own):
+        assert got[i]["ids"] == library.encode_ordinary(t)
+
+
+def test_texts_beyond_a_slice(spark):
+    """A text longer than what one step holds, between short ones: lengths, files and pieces stay whole."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(15)
+    own = ["short one", words(rng, 4000) * 200, None, "last"]
+    assert len(own[1]) > 4 << 20
+    d = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").coalesce(1)
+    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    want = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for x in own]
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_lengths(d).collect()} == {i: len(w) - 1 for i, w in enumerate(want)}
+    for r in packing.pack_documents(d).collect():
+        assert r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(want[r["doc_id"]])
+    w = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    for r in token_files.token_files(d).collect():
+        assert r["ids_crc32"] == zlib.crc32(np.array([*w.encode(own[r["doc_id"]] or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+
+
+def test_repeated_rows_count_each_time(spark, docs):
+    """Every row of a table that holds each row twice counts: lengths, matches and packed ids double."""
+    twice = docs.unionByName(docs)
+    one, two = (collected(token_counts.length_histogram(token_counts.token_lengths(d)), "n_tokens") for d in (docs, twice))
+    assert {k: 2 * r["n_docs"] for k, r in one.items()} == {k: r["n_docs"] for k, r in two.items()}
+    one, two = (collections.Counter(map(tuple, licenses.scan_licenses(d).collect())) for d in (docs, twice))
+    assert one and {k: 2 * n for k, n in one.items()} == dict(two)
+    one, two = (packing.pack_documents(d, capacity=64, grain=16) for d in (docs, twice))
+    total = lambda d: d.agg(F.sum("length")).first()[0]
+    assert 2 * total(one) == total(two) and two.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 64
+
+
 def test_near(spark, docs, texts):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
@@ -450,6 +620,61 @@ def test_near(spark, docs, texts):
     assert [(got[i * 3]["n_shingles"], got[i * 3]["component_id"]) for i in range(len(texts))] == [(len(s), 3 * c) for s, c in zip(sets, label, strict=True)]
 
 
+def test_near_on_the_fixture(spark):
+    """All components of the fixture's documents, against all pairs of sets."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = collections.defaultdict(list)
+    for r in sorted(d.select("doc_id", "text").collect()):
+        w = re.findall("[^\x20\x09-\x0d]+", (r["text"] or "").translate(fold))
+        own[frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else r["doc_id"]].append(r["doc_id"])
+    sets = [s for s in own if isinstance(s, frozenset)]
+    where = collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        for shingle in s:
+            where[shingle].append(k)
+    label = {k: min(own[s]) for k, s in enumerate(sets)}
+    links = []
+    for k, s in enumerate(sets):
+        both = collections.Counter(j for shingle in s for j in where[shingle] if j < k)
+        links += [(j, k) for j, n in both.items() if 100 * n >= 75 * (len(s) + len(sets[j]) - n)]
+    for _ in sets:
+        before = dict(label)
+        for j, k in links:
+            label[j] = label[k] = min(label[j], label[k])
+        if before == label:
+            break
+    want = {i: label[k] for k, s in enumerate(sets) for i in own[s]} | {i: i for s, ids in own.items() if not isinstance(s, frozenset) for i in ids}
+    got = {i: r["component_id"] for i, r in collected(near_dedup.near_duplicates(d)).items()}
+    assert links and got == want
+
+
+def test_near_buckets_with_one_large_component(spark, monkeypatch):
+    """Buckets cut into blocks: the large component's blocks don't meet each other, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(7)
+    base, rows, sets = [f"w{i}" for i in range(50)], [], []
+    for i in range(120):
+        w = list(base)
+        if i >= 90:  # far enough from the others to be apart, near enough to share buckets
+            w[int(rng.integers(0, 25))] = f"y{i}"
+            w[int(rng.integers(25, 50))] = f"z{i}"
+        elif i:
+            w[int(rng.integers(0, 50))] = f"x{rng.integers(0, 6)}"
+        rows.append((i, " ".join(w)))
+        sets.append({tuple(w[k : k + 5]) for k in range(46)})
+    label, changed = list(range(120)), True
+    pairs = [(i, j) for i in range(120) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    got = collected(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["component_id"] for i in range(120)] == label and len(set(label)) > 1
+
+
 def test_near_large_group(spark):
     """A family of copies around the threshold: blocks, residual rounds and the forest agree with brute force."""
     rng = np.random.default_rng(4)
@@ -473,6 +698,102 @@ def test_near_large_group(spark):
     assert [got[i]["component_id"] for i in range(150)] == label
 
 
+PIPELINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark, texts):
+    """Texts with nulls, repeated ids, repeated rows, null ids, and columns with clashing names."""
+    rows = [(i, t, ["en", "de", None][i % 3], "s", len(t or "")) for i, t in enumerate(texts)]
+    rows += [(1, "another text of the same id, with some words to it", "en", "s", 50), (1, texts[1], "en", "s", 1), (2, texts[2], "en", "s", 1), (2, texts[2], "en", "s", 1)]
+    rows += [(None, "a text without an id, with some words to it", "en", "s", 1), (None, texts[3], "en", "s", 1), (None, None, None, None, None)]
+    d = spark.createDataFrame(rows, PIPELINE_SCHEMA)
+    for c in ("kept", "keep_id", "text_sha256", "label", "sig", "part", "__id", "component_id"):
+        d = d.withColumn(c, F.lit(1))
+    return d.repartition(4).persist()
+
+
+def stage_named(name):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def kept_rows(df):
+    return collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ["language_id", "exact_dedup", "near_dedup", "suffix_dedup", "packing"])
+def test_stages_on_edges(spark, odd_documents, name):
+    stage, columns = stage_named(name), PIPELINE_SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    empty = stage(spark, odd_documents.where("doc_id < -5"), "")
+    assert empty.count() == 0 and (name == "packing" or empty.columns == columns)
+    nulls = stage(spark, odd_documents.withColumn("text", F.lit(None).cast("string")), "")
+    want = {"language_id": 0, "exact_dedup": 1}.get(name, odd_documents.count())
+    assert nulls.count() == want
+    out = stage(spark, odd_documents, "")
+    assert name == "packing" or out.columns == columns
+
+
+def test_exact_stage_against_brute_force(spark, odd_documents):
+    rows = [(r["doc_id"], r["text"]) for r in odd_documents.collect()]
+    best = {}
+    for i, t in rows:
+        if i is not None:
+            best[t or ""] = max(i, best.get(t or "", i))
+    want = collections.Counter((i, t) for i, t in rows if (t or "") not in best or i == best[t or ""])
+    assert kept_rows(stage_named("exact_dedup")(spark, odd_documents, "")) == want
+
+
+def test_near_stage_against_brute_force(spark, odd_documents):
+    """Rows are judged by their own text, also where ids repeat or are null."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def first_of_components(docs):
+        rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+        sets = []
+        for _, t in rows:
+            w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(fold))
+            sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+        label = list(range(len(rows)))
+        for _ in range(4):
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets[:i]):
+                    if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                        label[i] = label[j] = min(label[i], label[j])
+        return collections.Counter(r for k, r in enumerate(rows) if label[k] == k)
+
+    unique = odd_documents.where("doc_id > 5")
+    assert unique.count() == unique.select("doc_id").distinct().count()
+    for d in (odd_documents, unique):
+        assert kept_rows(stage_named("near_dedup")(spark, d, "")) == first_of_components(d)
+
+
+def test_suffix_stage_against_brute_force(spark, docs, texts):
+    owner, got = {}, {r["doc_id"]: r for r in stage_named("suffix_dedup")(spark, docs.select(*PIPELINE_SCHEMA.replace(" long", "").replace(" string", "").split(", ")), "").collect()}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if owner.setdefault(b[p : p + 50], i) < i:
+                gone[p : p + 50] = b"\1" * 50
+        left = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore") if t is not None else None
+        assert got[i * 3]["text"] == left and got[i * 3]["n_chars"] == (len(left) if left is not None else 0)
+
+
+def test_run_is_its_stages(spark, tmp_path):
+    """run() gives what the stages give one after another."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    pieces = lambda d: sorted(map(tuple, d.select(key).collect()))
+    assert pieces(corpus_pipeline.run(spark, "/root/testdata/sf0.001")) == pieces(docs)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
