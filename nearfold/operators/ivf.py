@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from nearfold.functions.distance import inner_product, ip_distance
+from nearfold.functions.distance import inner_product, ip_distance, subvector
 from nearfold.operators import kmeans
 from nearfold.operators.flat import by_blocks
 from nearfold.operators.quantise import ProductQuantiser, rerank
@@ -139,7 +139,7 @@ class IvfPqIndex:
         centroids = self.pq.centroids
         spaces, _, size = centroids.shape
         book = spark.createDataFrame([(m, book.tolist()) for m, book in enumerate(centroids)], "m int, words array<array<double>>")
-        table = queries.select("qid", "q").join(F.broadcast(book), F.lit(True)).select("qid", "m", F.transform("words", lambda w: inner_product(w, F.slice(F.col("q"), F.col("m") * size + 1, size))).alias("lut"))
+        table = queries.select("qid", "q").join(F.broadcast(book), F.lit(True)).select("qid", "m", F.transform("words", lambda w: inner_product(w, subvector(F.col("q"), F.col("m"), size))).alias("lut"))
         tables = table.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "lut"))), lambda x: x["lut"]).alias("luts"))
         probes = self.ivf.probes(queries, nprobe).select("qid", "cid").join(tables, "qid")
         found = self.pq.codes.join(probes, "cid")

@@ -120,6 +120,16 @@ def test_kmeans_policies(spark):
         kmeans.train(b, 5, 1)
 
 
+def test_seeds_by_either_way(spark, data, monkeypatch):
+    """Seeds at even strides are the same rows whether the driver or Spark numbers them; repeated ids take Spark's way."""
+    b, _, x, _ = data
+    one = kmeans.seeds(b, 7)
+    monkeypatch.setattr(kmeans, "IDS", 0)
+    assert (one == kmeans.seeds(b, 7)).all() and (one == x[kmeans.stride_rows(120, 7)]).all()
+    monkeypatch.undo()
+    assert len(kmeans.seeds(b.unionByName(b.limit(3)), 5)) == 5
+
+
 def test_kmeans_sample_is_bounded(spark):
     """Beyond the bound a sample by id is fitted on; it doesn't depend on partitions, and all rows are assigned."""
     rng = np.random.default_rng(3)
