@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.arrowtext import offsets_of, spans_index, text_slices
+from nearfold.llm.arrowtext import give_back, offsets_of, spans_index, text_slices
 from nearfold.llm.common import as_docs, prefix_sums, saved, shuffle_parts, text_volume
 from nearfold.llm.tokens import crc_rows, encoder, vocabulary
 
@@ -38,7 +38,6 @@ FIRST_RANGE = 1 << 30
 MAGIC, HEAD = b"RPG2", "<4sIIIQQQ"
 #: New rules of a round of replacement, and the least count of a pair worth a rule.
 RULES_A_ROUND, LEAST_COUNT = 8192, 16
-TEXT_SLICE = 12 << 20
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,13 +56,17 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_
         if new:
             young = symbols >= new
             inner &= young[:-1] | young[1:]
-        at = np.flatnonzero(inner).astype(np.uint64)
         wide, deep = np.uint64(int(top - 1).bit_length()), np.uint64(len(symbols).bit_length())
         if 2 * wide + deep > 64:
             raise ValueError("a shard has too many ids")
-        pair = symbols[:-1][inner].astype(np.uint64) << wide | symbols[1:][inner]
-        ordered = np.sort(pair << deep | at)
-        pair, at = ordered >> deep, (ordered & ((np.uint64(1) << deep) - np.uint64(1))).astype(np.int64)
+        # a pair and its place in one number, sorted in place
+        code = symbols[:-1][inner].astype(np.uint64)
+        code <<= wide
+        code |= symbols[1:][inner]
+        code <<= deep
+        code |= np.flatnonzero(inner).view(np.uint64)
+        code.sort()
+        pair = code >> deep
         edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True]))) if len(pair) else np.zeros(1, int)
         count = np.diff(edge)
         often = np.flatnonzero(count >= least)
@@ -74,8 +77,12 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_
             often = np.sort(often[np.argsort(-count[often], kind="stable")[:per_round]])
             new = 0
         chosen, many = pair[edge[often]], count[often]
-        found = np.sort(at[spans_index(edge[often], many)] << 32 | np.repeat(np.arange(len(often)), many))
-        at, found = found >> 32, found & 0xFFFFFFFF
+        at = (code[spans_index(edge[often], many)] & ((np.uint64(1) << deep) - np.uint64(1))).view(np.int64)
+        del code, pair, edge, count
+        at <<= 32
+        at |= np.repeat(np.arange(len(often)), many)
+        at.sort()
+        at, found = at >> 32, at & 0xFFFFFFFF
         # of overlapping occurrences every second one is replaced, from the left
         run = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
         taken = ((np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1) == 0
@@ -209,7 +216,7 @@ def write_token_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         encode = encoder(path, True)
         unnamed = TaskContext.get().partitionId()
-        for rows, text in text_slices(batches, TEXT_SLICE, keep=True):
+        for rows, text in text_slices(batches, keep=True):
             ids, off = encode(text)
             doc = rows.column("doc_id")
             own = pc.fill_null(doc, 0).to_numpy()
@@ -225,6 +232,7 @@ def write_token_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["range", "docs", "sizes", "width", "ids"])
 
     def build(table: pa.Table) -> pa.Table:
+        give_back()
         number = table.column("range")[0].as_py()
         docs_, sizes, ids = [], [], []
         for d, s, w, i in zip(*(table.column(c) for c in ("docs", "sizes", "width", "ids")), strict=True):
