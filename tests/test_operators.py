@@ -182,6 +182,20 @@ def test_graph(spark, data, tmp_path):
     assert index.serialized_size() > 120 * 8 * 4
 
 
+def test_sweep_and_size(spark, data):
+    """A parameter grid gives one summary a value, in order; the binary size follows from levels and links."""
+    b, q, x, y = data
+    index = GraphIndex.build(b, 8, 60).materialise()
+    truth = flat.flat_search(b, q, 10).persist()
+    found = evaluate.sweep({"ef": [10, 40, 200]}, lambda ef: index.search(q, 10, ef), truth).collect()
+    assert [(r["mode"], r["param_name"], r["param_value"]) for r in found] == [("ef=10", "ef", 10), ("ef=40", "ef", 40), ("ef=200", "ef", 200)]
+    assert [r["avg_recall"] for r in found] == sorted(r["avg_recall"] for r in found) and found[-1]["avg_recall"] == 1.0
+    assert all(r["avg_latency_us"] * 6 == pytest.approx(r["total_time_us"]) for r in found)
+    levels = [r["level"] for r in index.nodes.select("level").collect()]
+    assert index.serialized_size() == 96 + sum((2 * 8 * 4 + 4) + 8 * 4 + 8 + 4 + v * (8 * 4 + 4) for v in levels) and max(levels) > 0
+    truth.unpersist()
+
+
 def test_stop_conditions(spark, data):
     """Steered walks give the exact answers when they may go on, fewer rows when they stop early, and only admitted ones."""
     b, q, x, y = data
