@@ -35,7 +35,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     rows survive lost executors. The table stays until ``discard``; shuffle files of the job go when it ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.mode("error").option("compression", "zstd").parquet(path)
