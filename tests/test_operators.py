@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nearfold.functions.distance import METRICS, checked, register_metric
 from nearfold.operators import evaluate, flat, kmeans, quantise, topk
-from nearfold.operators.graph import GraphIndex, IvfGraphIndex
+from nearfold.operators.graph import Graph, GraphIndex, IvfGraphIndex
 from nearfold.operators.ivf import IvfIndex, IvfPqIndex
 from nearfold.operators.sharded import ShardedIndex
 from nearfold.operators.stops import Documents, WithinDistance
@@ -288,3 +288,28 @@ def test_plans_push_down(spark, data):
     queries = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     plan = flat.flat_search(base, queries, 10)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(vec_id,20)" in plan and "WindowGroupLimit" in plan and "label" not in plan
+
+
+def _clumped(kind: str) -> np.ndarray:
+    """Vectors whose pruned links leave some nodes without a way to them: copies, and lengths that differ."""
+    rng = np.random.default_rng(5)
+    return np.ones((300, 4)) if kind == "copies" else rng.normal(size=(600, 8)) * rng.lognormal(size=(600, 1))
+
+
+@pytest.mark.parametrize("kind", ["copies", "lengths"])
+def test_a_beam_as_wide_as_the_shard_finds_every_node(kind):
+    x = _clumped(kind)
+    graph = Graph(x, np.arange(len(x)), 4, 20)
+    assert max(len(layers[0]) for layers in graph.links) <= 8
+    assert all(n not in near and len(set(near)) == len(near) for n, layers in enumerate(graph.links) for near in layers)
+    for q in x[:30]:
+        assert sorted(i for _, i in graph.search(q, len(x), 1 << 30)) == list(range(len(x)))
+
+
+def test_graph_searches_with_whole_beams_are_exact_on_copies(spark):
+    x = np.concatenate((_clumped("lengths")[:200], np.ones((100, 8))))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    q = base.where("id % 25 = 0").selectExpr("id as qid", "vec as q")
+    truth = [tuple(r) for r in flat.flat_search(base, q, 100).select("qid", "rank", "id").orderBy("qid", "rank").collect()]
+    for index in (GraphIndex.build(base, 4, 20, shards=2), IvfGraphIndex.build(base, 3, m=4, ef_construction=20).graphs):
+        assert [tuple(r) for r in index.search(q, 100, 1 << 30).select("qid", "rank", "id").orderBy("qid", "rank").collect()] == truth
