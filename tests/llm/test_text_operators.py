@@ -813,3 +813,22 @@ def test_pipeline(spark, tmp_path):
     assert suffix.count() == near.count() and suffix.agg(F.sum("n_chars")).first()[0] < near.agg(F.sum(F.length("text"))).first()[0]
     assert packed.select("doc_id").distinct().count() == suffix.count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == packed.count()
+
+
+def test_suffix_blocks_are_compressed():
+    """What documents and overlapping contexts take on the way between tasks, on prose that repeats once, and what comes of it."""
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(300)]
+    once = [" ".join(words[i] for i in rng.zipf(1.3, 400) % 300) for _ in range(100)]
+    text = pa.array(once * 2, pa.string())
+    docs = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), text, pa.array(np.zeros(200, np.int64))], ["doc_id", "text", "part"])
+    packed = pa.Table.from_batches(suffix_dedup._pack_docs([docs.slice(0, 150), docs.slice(150)]))
+    judged = suffix_dedup._judge_anchors(1024)(suffix_dedup._find_anchors(1, 1 << 30)(packed))
+    sent = suffix_dedup._send_contexts(1)(packed, judged)
+    volume = sum(map(len, once)) * 2
+    assert packed.num_rows == 2 and packed.column("rows").nbytes < 0.6 * volume
+    assert sent.nbytes < 1.3 * volume  # each context once, in raw form about five times its share of the text
+    out = suffix_dedup._apply_marks(1, True)(packed, suffix_dedup._match_contexts(sent)).sort_by("doc_id")
+    assert out.column("n_bytes").to_pylist() == [len(t) for t in text.to_pylist()]
+    assert out.column("n_removed").to_pylist()[100:] == out.column("n_bytes").to_pylist()[100:]
+    assert set(out.column("kept_text").to_pylist()[100:]) == {""}
