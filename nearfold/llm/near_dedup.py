@@ -37,7 +37,7 @@ BATCH, MISS = 32, 1e-7
 #: Members of a bucket that one task compares; larger buckets are cut into pairs of such blocks, but for pairs of
 #: blocks of the bucket's largest component.
 BLOCK = 512
-#: Rows with whole shingle sets that go to a Python worker at once.
+#: Rows with whole texts or shingle sets that go to a Python worker at once.
 WIDE_ROWS = 2000
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
@@ -271,9 +271,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that repeat an id share its component. An empty table gives no rows.
     """
     docs = as_docs(df, id_col, text_col)
-    sigs = saved(_signature_table(docs), "signatures")
-    classes = saved(sigs.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     with rows_a_batch(docs.sparkSession, WIDE_ROWS):
+        sigs = saved(_signature_table(docs), "signatures")
+        classes = saved(sigs.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
         labels = near_links(sigs, classes, docs)
     # a table of its own, so that Spark can split the rows of a hot digest below
     classes = saved(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label")), "class-labels")

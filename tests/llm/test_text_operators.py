@@ -826,9 +826,22 @@ def test_suffix_blocks_are_compressed():
     judged = suffix_dedup._judge_anchors(1024)(suffix_dedup._find_anchors(1, 1 << 30)(packed))
     sent = suffix_dedup._send_contexts(1)(packed, judged)
     volume = sum(map(len, once)) * 2
-    assert packed.num_rows == 2 and packed.column("rows").nbytes < 0.6 * volume
+    assert packed.num_rows == 1 and packed.column("rows").nbytes < 0.6 * volume
     assert sent.nbytes < 1.3 * volume  # each context once, in raw form about five times its share of the text
     out = suffix_dedup._apply_marks(1, True)(packed, suffix_dedup._match_contexts(sent)).sort_by("doc_id")
     assert out.column("n_bytes").to_pylist() == [len(t) for t in text.to_pylist()]
     assert out.column("n_removed").to_pylist()[100:] == out.column("n_bytes").to_pylist()[100:]
     assert set(out.column("kept_text").to_pylist()[100:]) == {""}
+
+
+def test_near_dedup_hands_texts_over_in_small_batches(spark, monkeypatch):
+    """Rows of a batch that the signature stage gets at most, which bounds what the JVM and a worker hold of whole texts."""
+    seen, own = [], near_dedup._signature_table
+
+    def watched(docs):
+        seen.append(int(docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return own(docs)
+
+    monkeypatch.setattr(near_dedup, "_signature_table", watched)
+    docs = spark.createDataFrame([(i, f"word{i} and some more words of a text") for i in range(20)], "doc_id long, text string")
+    assert near_dedup.near_duplicates(docs).count() == 20 and seen == [near_dedup.WIDE_ROWS]
